@@ -243,11 +243,10 @@ def shared_folder(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str, coalesce: int | None = None) -> DataFrame:
     """Write a table to the shared folder and read it back: lineage ends there and lost executors lose nothing."""
     spark = df.sparkSession
+    release(spark)  # what earlier steps have left: their frames are gone only now
     path = f"{shared_folder(spark)}/factorloom/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     (df.coalesce(coalesce) if coalesce else df).write.parquet(path)
-    del df
-    release(spark)
     return spark.read.schema(schema).parquet(path)
 
 
