@@ -178,8 +178,16 @@ def _linked(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     return both.filter(F.col("overlap") * 100 >= percent * (F.col("na") + F.col("nb") - F.col("overlap"))).select("a", "b")
 
 
-def _near_sizes(percent: int):
-    return F.least("n", "hn") * 100 >= F.greatest("n", "hn") * percent
+def _possible(percent: int):
+    """Whether a pair can reach the bound, by its sizes and by the places of a column that both have.
+
+    Sets of sizes n and hn must overlap in percent / (100 + percent) * (n + hn)
+    or more; if this is the first column that they share, no more than what
+    follows it in either set can overlap.  Other shared columns allow less, so a
+    pair that no column allows is no link.
+    """
+    least = F.ceil(F.lit(percent) * (F.col("n") + F.col("hn")) / F.lit(100 + percent))
+    return F.least(F.col("n") - F.col("pos"), F.col("hn") - F.col("hpos")) >= least
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 75, hubs: int = 4) -> DataFrame:
@@ -205,26 +213,29 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 75, hubs: int
 
 def class_links(rows: DataFrame, percent: int, hubs: int) -> DataFrame:
     """Links (a, b) between classes with the components of all links; see the module's text."""
-    entries = B.written(rows.select("node", "n", (F.col("n") - F.size("cols")).alias("own"), F.explode(F.slice("cols", F.lit(1), F.col("bound"))).alias("col")), "entries")
+    own = F.col("n") - F.size("cols")
+    entries = rows.select("node", "n", own.alias("own"), F.posexplode(F.slice("cols", F.lit(1), F.col("bound"))).alias("at", "col"))
+    # Columns that no other set has come first in a set's order.
+    entries = B.written(entries.select("node", "n", "own", (F.col("own") + F.col("at")).alias("pos"), "col"), "entries")
     found = None
-    label = entries.select("node", "n", "own", "col", F.col("node").alias("label"))
+    label = entries.select("node", "n", "own", "pos", "col", F.col("node").alias("label"))
     for turn in range(2):
         # Hubs of a column: of each hashed share of its rows the one with the fewest columns of its own.
         share = F.pmod(F.xxhash64(F.lit(turn), "node"), F.lit(hubs * (1 + turn)))
-        best = label.groupBy("col", share.alias("share")).agg(F.min(F.struct("own", "node", "n", "label")).alias("hub"))
-        best = best.select("col", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hn"), F.col("hub.label").alias("hl"))
-        near = label.join(best, "col").filter(F.col("node") != F.col("hub")).filter(F.col("label") != F.col("hl")).filter(_near_sizes(percent))
+        best = label.groupBy("col", share.alias("share")).agg(F.min(F.struct("own", "node", "n", "pos", "label")).alias("hub"))
+        best = best.select("col", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hn"), F.col("hub.pos").alias("hpos"), F.col("hub.label").alias("hl"))
+        near = label.join(best, "col").filter(F.col("node") != F.col("hub")).filter(F.col("label") != F.col("hl")).filter(_possible(percent))
         pairs = near.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
         new = B.written(_linked(pairs, rows, percent), "links")
         found = new if found is None else found.union(new)
         named = components(found, f"hubs{turn}")
-        label = entries.join(named, "node", "left").select("node", "n", "own", "col", F.coalesce("label", "node").alias("label"))
+        label = entries.join(named, "node", "left").select("node", "n", "own", "pos", "col", F.coalesce("label", "node").alias("label"))
         # Columns whose rows are all in one component are settled.
         open_ = label.groupBy("col").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("col")
         label = B.written(label.join(open_, "col", "left_semi"), "open")
     count = label.groupBy("col", "label").agg(F.count("*").alias("k"))
     main = count.groupBy("col").agg(F.max(F.struct("k", "label")).alias("main")).select("col", F.col("main.label").alias("main"))
-    rest = label.join(main, "col").filter(F.col("label") != F.col("main")).select("col", F.col("node").alias("hub"), F.col("n").alias("hn"), F.col("label").alias("hl"))
-    near = label.join(rest, "col").filter(F.col("label") != F.col("hl")).filter(_near_sizes(percent))
+    rest = label.join(main, "col").filter(F.col("label") != F.col("main")).select("col", F.col("node").alias("hub"), F.col("n").alias("hn"), F.col("pos").alias("hpos"), F.col("label").alias("hl"))
+    near = label.join(rest, "col").filter(F.col("label") != F.col("hl")).filter(_possible(percent))
     pairs = near.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
     return found.union(B.written(_linked(pairs, rows, percent), "links"))
