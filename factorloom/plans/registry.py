@@ -1,10 +1,397 @@
-"""Queries by name, and their SQL."""
+"""Queries by name, and the same questions in DuckDB's SQL."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import stats
+from ..operators import consensus, deps, factors, nmf, programs
+from ..sources import assays
+
 QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+
+_U = """u AS (SELECT vec_id AS cell_id, label AS grp, i AS program_idx, 'NMF_' || i AS program,
+  greatest(CAST(embedding[i] AS DOUBLE), CAST(0 AS DOUBLE)) AS weight FROM embeddings, range(1, 9) AS t(i))"""
+_B = """b0 AS (SELECT p_brand AS feature_id, c_mktsegment AS program, round(avg(CAST(l_quantity AS DOUBLE)), 6) AS weight
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2),
+b AS (SELECT feature_id, CAST(dense_rank() OVER (ORDER BY program) AS INTEGER) AS program_idx, program, weight FROM b0)"""
+_M = """m AS (SELECT CAST(o_custkey AS VARCHAR) AS cell_id, p_brand AS feature_id, CAST(sum(l_quantity) AS DOUBLE) AS value
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey GROUP BY 1, 2)"""
+_L = _M + """, tot AS (SELECT cell_id, sum(value) AS total FROM m GROUP BY 1),
+lg AS (SELECT m.cell_id, feature_id, log2(value / (total / (SELECT avg(total) FROM tot)) + 1.0) AS value FROM m JOIN tot USING (cell_id))"""
+_E = "e AS (SELECT CAST(vec_id AS VARCHAR) AS cell_id, 'd' || i AS feature_id, CAST(embedding[i] AS DOUBLE) AS value FROM embeddings, range(1, 65) AS t(i))"
+_FOLD = _U + """, s AS (SELECT program_idx, program, grp, sum(weight) AS s, count(*) AS n FROM u GROUP BY ALL),
+f AS (SELECT a.program_idx, a.program, a.grp, a.s / a.n AS mean_in, sum(o.s) / sum(o.n) AS mean_out
+  FROM s a JOIN s o ON a.program_idx = o.program_idx AND a.grp <> o.grp GROUP BY a.program_idx, a.program, a.grp, a.s, a.n),
+fold AS (SELECT *, CASE WHEN mean_out = 0 THEN CASE WHEN mean_in = 0 THEN 1.0 ELSE CAST('Infinity' AS DOUBLE) END ELSE mean_in / mean_out END AS fold FROM f)"""
+_W = _U + """, c AS (SELECT program_idx, weight AS v, grp, count(*) AS c FROM u GROUP BY ALL),
+sz AS (SELECT program_idx, grp, count(*) AS n FROM u GROUP BY ALL),
+grid AS (SELECT k.program_idx, k.v, sz.grp, coalesce(c.c, 0) AS c FROM (SELECT DISTINCT program_idx, v FROM c) k JOIN sz USING (program_idx)
+  LEFT JOIN c ON c.program_idx = k.program_idx AND c.v = k.v AND c.grp = sz.grp),
+cum AS (SELECT *, coalesce(sum(c) OVER (PARTITION BY program_idx, grp ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM grid),
+us AS (SELECT a.program_idx, a.grp AS g1, b.grp AS g2, sum(CAST(a.c AS DOUBLE) * (CAST(b.below AS DOUBLE) + CAST(0.5 AS DOUBLE) * CAST(b.c AS DOUBLE))) AS u,
+  sum(pow(CAST(a.c + b.c AS DOUBLE), 3) - CAST(a.c + b.c AS DOUBLE)) AS t FROM cum a JOIN cum b ON a.program_idx = b.program_idx AND a.v = b.v AND a.grp <> b.grp GROUP BY 1, 2, 3),
+w0 AS (SELECT us.*, CAST(x.n AS DOUBLE) AS n1, CAST(y.n AS DOUBLE) AS n2 FROM us JOIN sz x ON x.program_idx = us.program_idx AND x.grp = g1 JOIN sz y ON y.program_idx = us.program_idx AND y.grp = g2),
+w1 AS (SELECT *, n1 * n2 / 12.0 * (n1 + n2 + 1 - t / greatest((n1 + n2) * (n1 + n2 - 1), 1)) AS var, u - n1 * n2 / 2 AS diff FROM w0),
+w AS (SELECT program_idx, g1, g2, u, u / (n1 * n2) AS auc, CASE WHEN var > 0 THEN (diff - CASE WHEN diff > 0 THEN 0.5 WHEN diff < 0 THEN -0.5 ELSE 0 END) / sqrt(var) ELSE 0 END AS z FROM w1)"""
+#: A p-value of closed form, so that both engines combine the same numbers.
+_P = _W + ", pv AS (SELECT program_idx, g1, g2, 1.0 / (1.0 + abs(z) * z * z) AS p FROM w)"
+
+
+def r6(name: str):
+    """A double rounded to 6 places, never minus zero."""
+    return (F.round(F.col(name), 6) + F.lit(0.0)).alias(name)
+
+
+def s6(expression: str, name: str) -> str:
+    return f"round({expression}, 6) + 0.0 AS {name}"
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+# Assays.
+
+
+@query(f"WITH {_M} SELECT cell_id, feature_id, {s6('value', 'value')} FROM m")
+def assay_coo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assays.purchases(spark, sf_dir).select("cell_id", "feature_id", r6("value"))
+
+
+@query(f"WITH {_M} SELECT cell_id, {s6('sum(value)', 'total')}, CAST(count(*) AS BIGINT) AS n_features FROM m GROUP BY 1")
+def assay_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = assays.purchases(spark, sf_dir).groupBy("cell_id").agg(F.sum("value").alias("total"), F.count("*").alias("n_features"))
+    return out.select("cell_id", r6("total"), "n_features")
+
+
+@query(f"WITH {_L} SELECT cell_id, feature_id, {s6('value', 'value')} FROM lg")
+def assay_lognorm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assays.log_normalise(assays.purchases(spark, sf_dir)).select("cell_id", "feature_id", r6("value"))
+
+
+@query(f"WITH {_M} SELECT cell_id, feature_id, {s6('value', 'value')} FROM m WHERE feature_id IN ('Brand#11', 'Brand#23', 'Brand#45')")
+def subset_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assays.subset_features(assays.purchases(spark, sf_dir), ["Brand#11", "Brand#23", "Brand#45"]).select("cell_id", "feature_id", r6("value"))
+
+
+@query(f"WITH {_M} SELECT cell_id, feature_id, {s6('value', 'value')} FROM m WHERE NOT regexp_matches(feature_id, '^Brand#1')")
+def exclude_regex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assays.exclude_features(assays.purchases(spark, sf_dir), "^Brand#1").select("cell_id", "feature_id", r6("value"))
+
+
+@query(f"WITH {_E} SELECT CAST(count(*) FILTER (value < 0) AS BIGINT) AS n_negative, coalesce(bool_or(value < 0), false) AS any_negative FROM e")
+def negative_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assays.negative_count(assays.embedding_values(spark, sf_dir))
+
+
+@query(f"WITH {_E} SELECT cell_id, feature_id, {s6('greatest(value, CAST(0 AS DOUBLE))', 'value')} FROM e")
+def clamp_negative(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assays.clamp(assays.embedding_values(spark, sf_dir)).select("cell_id", "feature_id", r6("value"))
+
+
+# Factors.
+
+_TOP = "top AS (SELECT *, CAST(row_number() OVER (PARTITION BY program_idx ORDER BY weight DESC, feature_id) AS INTEGER) AS rank FROM b)"
+
+
+def _top_sql(n: int) -> str:
+    return f"WITH {_B}, {_TOP} SELECT program_idx, program, rank, feature_id, {s6('weight', 'weight')} FROM top WHERE rank <= {n}"
+
+
+def _top(n: int):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return factors.top_features(assays.segment_basis(spark, sf_dir), n).select("program_idx", "program", "rank", "feature_id", r6("weight"))
+
+    return run
+
+
+for _name, _n in (("top_features", 10), ("top_features_n1", 1), ("top_features_all", 1000)):
+    QUERIES[_name], ORACLE_SQL[_name] = _top(_n), _top_sql(_n)
+
+
+def _greedy_sql(k: int, n: int) -> str:
+    parts = []
+    for i in range(1, k + 1):
+        taken = "".join(f" AND NOT EXISTS (SELECT 1 FROM g{j} WHERE g{j}.feature_id = b.feature_id)" for j in range(1, i))
+        parts.append(f"g{i} AS (SELECT program_idx, program, feature_id, weight, CAST(row_number() OVER (ORDER BY weight DESC, feature_id) AS INTEGER) AS rank FROM b WHERE program_idx = {i}{taken} QUALIFY rank <= {n})")
+    return f"WITH {_B}, {', '.join(parts)} " + " UNION ALL ".join(f"SELECT program_idx, program, rank, feature_id, {s6('weight', 'weight')} FROM g{i}" for i in range(1, k + 1))
+
+
+@query(_greedy_sql(5, 4))
+def top_unique_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return factors.top_unique(assays.segment_basis(spark, sf_dir), 4).select("program_idx", "program", "rank", "feature_id", r6("weight"))
+
+
+def _union_sql(n: int) -> str:
+    return f"WITH {_B}, {_TOP}, one AS (SELECT feature_id, program_idx, rank FROM top WHERE rank <= {n} QUALIFY row_number() OVER (PARTITION BY feature_id ORDER BY program_idx, rank) = 1) SELECT CAST(row_number() OVER (ORDER BY program_idx, rank) AS INTEGER) AS position, feature_id FROM one"
+
+
+@query(_union_sql(10))
+def top_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return factors.top_union(assays.segment_basis(spark, sf_dir), 10)
+
+
+@query(_union_sql(5))
+def top5_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return factors.top_union(assays.segment_basis(spark, sf_dir), 5)
+
+
+@query(f"WITH {_B}, z AS (SELECT *, avg(weight) OVER w AS m, stddev_samp(weight) OVER w AS sd FROM b WINDOW w AS (PARTITION BY feature_id)) SELECT feature_id, program_idx, program, {s6('weight', 'weight')}, {s6('CASE WHEN sd > 0 THEN (weight - m) / sd ELSE 0 END', 'z')} FROM z")
+def gene_zscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return factors.z_scores(assays.segment_basis(spark, sf_dir)).select("feature_id", "program_idx", "program", r6("weight"), r6("z"))
+
+
+@query(f"WITH {_B}, {_TOP}, t AS (SELECT feature_id, count(*) AS lists, min(program_idx) AS only_ FROM top WHERE rank <= 10 GROUP BY 1), best AS (SELECT feature_id, program_idx FROM b QUALIFY row_number() OVER (PARTITION BY feature_id ORDER BY weight DESC, program_idx) = 1) SELECT t.feature_id, CASE WHEN lists = 1 THEN only_ ELSE best.program_idx END AS owner FROM t JOIN best USING (feature_id)")
+def gene_annotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return factors.owners(assays.segment_basis(spark, sf_dir), 10)
+
+
+_SEG = _B + """, h AS (SELECT CAST(c_nationkey AS VARCHAR) AS cell_id, c_mktsegment AS program, CAST(count(*) AS DOUBLE) AS h FROM customer GROUP BY 1, 2)"""
+
+
+def _segment_usage(spark: SparkSession, sf_dir: str, basis: DataFrame) -> DataFrame:
+    customers = assays.table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").cast("string").alias("cell_id"), F.col("c_mktsegment").alias("program")).agg(F.count("*").cast("double").alias("weight"))
+    return customers.join(basis.select("program", "program_idx").distinct(), "program")
+
+
+@query(f"WITH {_SEG} SELECT feature_id, cell_id, {s6('sum(weight * h)', 'value')} FROM b JOIN h USING (program) GROUP BY 1, 2")
+def reconstruct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    basis = assays.segment_basis(spark, sf_dir)
+    return factors.reconstruct(basis, _segment_usage(spark, sf_dir, basis)).select("feature_id", "cell_id", r6("value"))
+
+
+@query(f"WITH {_SEG} SELECT feature_id, cell_id, {s6('sum(weight * program_idx * 0.5 * h)', 'value')} FROM b JOIN h USING (program) GROUP BY 1, 2")
+def reconstruct_scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    basis = assays.segment_basis(spark, sf_dir)
+    scale = basis.select("program_idx", (F.col("program_idx") * F.lit(0.5)).alias("d")).distinct()
+    return factors.reconstruct(basis, _segment_usage(spark, sf_dir, basis), scale).select("feature_id", "cell_id", r6("value"))
+
+
+# Programs by group.
+
+
+def _dots_sql(weight: str = "weight", having: str = "") -> str:
+    scaled = "v AS (SELECT program_idx, program, grp, weight AS raw, CASE WHEN max(weight) OVER p > min(weight) OVER p THEN (weight - min(weight) OVER p) / (max(weight) OVER p - min(weight) OVER p) ELSE 0 END AS scaled, weight FROM u WINDOW p AS (PARTITION BY program_idx))"
+    return f"WITH {_U}, {scaled} SELECT program_idx, program, grp, {s6(f'sum({weight})', 'sum_weight')}, {s6(f'100.0 * avg(CASE WHEN {weight} > 0 THEN CAST(1 AS DOUBLE) ELSE 0 END)', 'pct_nonzero')} FROM v GROUP BY 1, 2, 3 {having}"
+
+
+def _dots(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
+    out = programs.dots(assays.embedding_usage(spark, sf_dir), "grp", **options)
+    return out.select(F.col("program_idx").cast("long").alias("program_idx"), "program", "grp", r6("sum_weight"), r6("pct_nonzero"))
+
+
+@query(_dots_sql())
+def dots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _dots(spark, sf_dir)
+
+
+@query(_dots_sql("scaled"))
+def dots_scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _dots(spark, sf_dir, scale=True)
+
+
+@query(_dots_sql(having="HAVING 100.0 * avg(CASE WHEN weight > 0 THEN CAST(1 AS DOUBLE) ELSE 0 END) >= 50"))
+def dots_min_pct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _dots(spark, sf_dir, min_pct=50.0)
+
+
+@query(f"WITH {_U} SELECT cell_id, {s6('CAST(embedding[9] AS DOUBLE)', 'x')}, {s6('CAST(embedding[10] AS DOUBLE)', 'y')}, {s6('weight', 'program_usage')} FROM embeddings JOIN u ON vec_id = cell_id AND program_idx = 3")
+def dimred_scatter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coords = assays.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("cell_id"), F.slice("embedding", 9, 2).alias("coords"))
+    return programs.scatter(coords, assays.embedding_usage(spark, sf_dir), 3).select("cell_id", r6("x"), r6("y"), r6("program_usage"))
+
+
+@query(f"WITH {_L}, g AS (SELECT CAST(c_custkey AS VARCHAR) AS cell_id, c_mktsegment AS grp FROM customer), n AS (SELECT grp, count(*) AS n FROM g GROUP BY 1), a AS (SELECT grp, feature_id, sum(value) / any_value(n) AS mean FROM lg JOIN g USING (cell_id) JOIN n USING (grp) GROUP BY 1, 2), z AS (SELECT *, avg(mean) OVER w AS mm, stddev_samp(mean) OVER w AS sd FROM a WINDOW w AS (PARTITION BY feature_id)) SELECT grp, feature_id, {s6('mean', 'mean')}, {s6('CASE WHEN sd > 0 THEN (mean - mm) / sd ELSE 0 END', 'z')} FROM z")
+def grouped_heatmap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = assays.table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("cell_id"), F.col("c_mktsegment").alias("grp"))
+    return programs.grouped_means(assays.log_normalise(assays.purchases(spark, sf_dir)), groups).select("grp", "feature_id", r6("mean"), r6("z"))
+
+
+# Tests between groups.
+
+
+def _usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assays.embedding_usage(spark, sf_dir)
+
+
+def _idx():
+    return F.col("program_idx").cast("long").alias("program_idx")
+
+
+@query(f"WITH {_FOLD} SELECT program_idx, program, grp, {s6('mean_in', 'mean_in')}, {s6('mean_out', 'mean_out')}, {s6('fold', 'fold')} FROM fold")
+def fold_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return deps.folds(_usage(spark, sf_dir)).select(_idx(), "program", "grp", r6("mean_in"), r6("mean_out"), r6("fold"))
+
+
+for _name in ("u", "auc", "z"):
+
+    def _wilcox(spark: SparkSession, sf_dir: str, column: str = _name) -> DataFrame:
+        return deps.wilcoxon(_usage(spark, sf_dir)).select(_idx(), "g1", "g2", r6(column))
+
+    QUERIES[f"wilcox_{_name}"], ORACLE_SQL[f"wilcox_{_name}"] = _wilcox, f"WITH {_W} SELECT program_idx, g1, g2, {s6(_name, _name)} FROM w"
+
+_MOM = _U + ", q AS (SELECT program_idx, grp, CAST(count(*) AS DOUBLE) AS n, avg(weight) AS m, coalesce(var_samp(weight), 0) AS v, sum(CASE WHEN weight > 0 THEN 1 ELSE 0 END) AS k FROM u GROUP BY 1, 2)"
+
+
+@query(f"WITH {_MOM}, t AS (SELECT a.program_idx, a.grp AS g1, b.grp AS g2, a.m - b.m AS effect, a.v / a.n AS x, b.v / b.n AS y, a.n AS n1, b.n AS n2 FROM q a JOIN q b ON a.program_idx = b.program_idx AND a.grp <> b.grp) SELECT program_idx, g1, g2, {s6('effect', 'effect')}, {s6('CASE WHEN x + y > 0 THEN effect / sqrt(x + y) ELSE 0 END', 't')}, {s6('CASE WHEN x + y > 0 THEN (x + y) * (x + y) / (x * x / greatest(n1 - 1, 1) + y * y / greatest(n2 - 1, 1)) ELSE 1 END', 'df')} FROM t")
+def welch_t_stat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return deps.welch(_usage(spark, sf_dir)).select(_idx(), "g1", "g2", r6("effect"), r6("t"), r6("df"))
+
+
+@query(f"WITH {_MOM} SELECT a.program_idx, a.grp AS g1, b.grp AS g2, CAST(a.k AS BIGINT) AS k1, CAST(a.n AS BIGINT) AS n1, CAST(b.k AS BIGINT) AS k2, CAST(b.n AS BIGINT) AS n2, {s6('log2(((a.k + 0.5) / (a.n + 1)) / ((b.k + 0.5) / (b.n + 1)))', 'effect')} FROM q a JOIN q b ON a.program_idx = b.program_idx AND a.grp <> b.grp")
+def binom_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return deps.detection(_usage(spark, sf_dir)).select(_idx(), "g1", "g2", "k1", "n1", "k2", "n2", r6("effect"))
+
+
+def _closed_p(spark: SparkSession, sf_dir: str) -> DataFrame:
+    z = F.col("z")
+    return deps.wilcoxon(_usage(spark, sf_dir)).select(_idx(), "g1", "g2", (1.0 / (1.0 + F.abs(z) * z * z)).alias("p"))
+
+
+_COMBINE = {
+    "any": "least(CAST(1 AS DOUBLE), min(p * n / r))",
+    "some": "max(holm) FILTER (r = greatest(1, ceil(0.1 * n)))",
+    "all": "max(p)",
+}
+_RANKED = _P + ", k AS (SELECT *, row_number() OVER (PARTITION BY g1, program_idx ORDER BY p) AS r, count(*) OVER (PARTITION BY g1, program_idx) AS n FROM pv), hm AS (SELECT *, least(CAST(1 AS DOUBLE), max((n - r + 1) * p) OVER (PARTITION BY g1, program_idx ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS holm FROM k)"
+for _name, _sql in _COMBINE.items():
+
+    def _combined(spark: SparkSession, sf_dir: str, how: str = _name) -> DataFrame:
+        return stats.combine(_closed_p(spark, sf_dir), ["g1", "program_idx"], how).select("g1", "program_idx", r6("p_value"))
+
+    QUERIES[f"combine_{_name}"], ORACLE_SQL[f"combine_{_name}"] = _combined, f"WITH {_RANKED} SELECT g1, program_idx, {s6(_sql, 'p_value')} FROM hm GROUP BY 1, 2"
+
+_BH = _RANKED + """, cp AS (SELECT g1, program_idx, max(p) AS p_value FROM hm GROUP BY 1, 2),
+raw AS (SELECT *, p_value * count(*) OVER (PARTITION BY g1) / count(*) OVER (PARTITION BY g1 ORDER BY p_value RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS raw FROM cp),
+bh AS (SELECT *, least(CAST(1 AS DOUBLE), min(raw) OVER (PARTITION BY g1 ORDER BY p_value DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS fdr FROM raw)"""
+
+
+def _adjusted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.adjust(stats.combine(_closed_p(spark, sf_dir), ["g1", "program_idx"], "all"), ["g1"])
+
+
+@query(f"WITH {_BH} SELECT g1, program_idx, {s6('p_value', 'p_value')}, {s6('fdr', 'fdr')} FROM bh")
+def bh_fdr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _adjusted(spark, sf_dir).select("g1", "program_idx", r6("p_value"), r6("fdr"))
+
+
+# Plots of tests. Some folds are made infinite or zero, so that their replacement is tested.
+
+_DEPS = _BH + ", " + _FOLD[len(_U) + 2 :] + """, d AS (SELECT CAST(bh.g1 AS VARCHAR) AS cell_type, program, CASE WHEN (bh.g1 + bh.program_idx) % 11 = 0 THEN CAST('Infinity' AS DOUBLE) WHEN (bh.g1 + bh.program_idx) % 7 = 0 THEN 0 ELSE fold END AS fold, p_value, fdr
+  FROM bh JOIN fold ON fold.program_idx = bh.program_idx AND fold.grp = bh.g1),
+v0 AS (SELECT *, CASE WHEN fold = 0 THEN CAST('-Infinity' AS DOUBLE) ELSE log2(fold) END AS raw, -log10(p_value) AS neg_log10_pval FROM d),
+v1 AS (SELECT *, coalesce(max(CASE WHEN isfinite(raw) THEN raw END) OVER (PARTITION BY cell_type) + 0.5, 5) AS hi, coalesce(min(CASE WHEN isfinite(raw) THEN raw END) OVER (PARTITION BY cell_type) - 0.5, -5) AS lo FROM v0),
+v2 AS (SELECT *, CASE WHEN raw = CAST('Infinity' AS DOUBLE) THEN hi WHEN raw = CAST('-Infinity' AS DOUBLE) THEN lo ELSE raw END AS log2_fold,
+  CASE WHEN p_value <= 0.995 AND fold <= 1.0 / 1.05 THEN 'Depleted' WHEN p_value <= 0.995 AND fold >= 1.05 THEN 'Enriched' ELSE 'Not Significant' END AS significance FROM v1),
+v AS (SELECT *, CASE WHEN significance <> 'Not Significant' AND row_number() OVER (PARTITION BY cell_type ORDER BY CASE WHEN significance <> 'Not Significant' THEN 1 ELSE 0 END DESC, neg_log10_pval DESC, abs(log2_fold) DESC, program) <= 2 THEN program ELSE '' END AS label FROM v2)"""
+
+
+def _deps_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _adjusted(spark, sf_dir)
+    f = deps.folds(_usage(spark, sf_dir)).select(_idx(), "program", F.col("grp").alias("g1"), "fold")
+    odd = F.col("g1") + F.col("program_idx")
+    fold = F.when(odd % 11 == 0, F.lit(stats.INF)).when(odd % 7 == 0, F.lit(0.0)).otherwise(F.col("fold"))
+    return p.join(f, ["program_idx", "g1"]).select(F.col("g1").cast("string").alias("cell_type"), "program", fold.alias("fold_enrichment"), "p_value", "fdr")
+
+
+def _volcano(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return deps.volcano(_deps_table(spark, sf_dir), fold_threshold=1.05, pval_threshold=0.995, top_n=2)
+
+
+@query(f"WITH {_DEPS} SELECT cell_type, program, {s6('p_value', 'p_value')}, {s6('neg_log10_pval', 'neg_log10_pval')}, significance FROM v")
+def volcano(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _volcano(spark, sf_dir).select("cell_type", "program", r6("p_value"), r6("neg_log10_pval"), "significance")
+
+
+@query(f"WITH {_DEPS} SELECT cell_type, program, {s6('log2_fold', 'log2_fold')} FROM v")
+def volcano_inf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _volcano(spark, sf_dir).select("cell_type", "program", r6("log2_fold"))
+
+
+@query(f"WITH {_DEPS} SELECT cell_type, program, label FROM v WHERE label <> ''")
+def volcano_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _volcano(spark, sf_dir).filter("label <> ''").select("cell_type", "program", "label")
+
+
+_LOGFC = "CASE WHEN raw = CAST('Infinity' AS DOUBLE) THEN 10 WHEN raw = CAST('-Infinity' AS DOUBLE) THEN -10 ELSE raw END"
+
+
+@query(f"WITH {_DEPS}, x AS (SELECT program, cell_type, {_LOGFC} AS logfc FROM v0) SELECT program, {', '.join(s6(f'max(logfc) FILTER (cell_type = {chr(39)}{i}{chr(39)})', f'g{i}') for i in range(10))} FROM x GROUP BY 1")
+def deps_heatmap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wide = deps.fold_pivot(deps.fold_matrix(_deps_table(spark, sf_dir)))
+    return wide.select("program", *[(F.round(F.col(f"`{i}`"), 6) + F.lit(0.0)).alias(f"g{i}") for i in range(10)])
+
+
+@query(f"WITH {_DEPS}, x AS (SELECT program, cell_type, {_LOGFC} AS logfc FROM v0) SELECT program, cell_type, {s6('logfc', 'logfc')}, CASE WHEN logfc >= 0.05 THEN '*' ELSE '' END AS star FROM x")
+def deps_stars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return deps.fold_matrix(_deps_table(spark, sf_dir), threshold=0.05).select("program", "cell_type", r6("logfc"), "star")
+
+
+# Factorisation.
+
+
+def _mu_sql(k: int, steps: int) -> str:
+    m = "a AS (SELECT CAST(user_id AS VARCHAR) AS c, event_type AS f, CAST(sum(value) AS DOUBLE) AS v FROM events GROUP BY 1, 2), fs AS (SELECT f, row_number() OVER (ORDER BY f) AS i FROM (SELECT DISTINCT f FROM a))"
+    parts = [m, f"w0 AS (SELECT f, j, CAST(1 AS DOUBLE) + CAST((i + 2 * j) % 3 AS DOUBLE) / 10 AS w FROM fs, range(1, {k + 1}) AS t(j))", f"h0 AS (SELECT c, j, CAST(1 AS DOUBLE) AS h FROM (SELECT DISTINCT c FROM a), range(1, {k + 1}) AS t(j))"]
+    for s in range(1, steps + 1):
+        o = s - 1
+        parts += [
+            f"wg{s} AS (SELECT x.j, y.j AS l, sum(x.w * y.w) AS g FROM w{o} x JOIN w{o} y USING (f) GROUP BY 1, 2)",
+            f"hn{s} AS (SELECT c, j, sum(w * v) AS num FROM a JOIN w{o} USING (f) GROUP BY 1, 2)",
+            f"hd{s} AS (SELECT c, wg{s}.j, sum(g * h) AS den FROM wg{s} JOIN h{o} ON h{o}.j = wg{s}.l GROUP BY 1, 2)",
+            f"h{s} AS (SELECT c, j, h * num / den AS h FROM h{o} JOIN hn{s} USING (c, j) JOIN hd{s} USING (c, j))",
+            f"hg{s} AS (SELECT x.j, y.j AS l, sum(x.h * y.h) AS g FROM h{s} x JOIN h{s} y USING (c) GROUP BY 1, 2)",
+            f"wn{s} AS (SELECT f, j, sum(v * h) AS num FROM a JOIN h{s} USING (c) GROUP BY 1, 2)",
+            f"wd{s} AS (SELECT f, hg{s}.j, sum(g * w) AS den FROM hg{s} JOIN w{o} ON w{o}.j = hg{s}.l GROUP BY 1, 2)",
+            f"w{s} AS (SELECT f, j, w * num / den AS w FROM w{o} JOIN wn{s} USING (f, j) JOIN wd{s} USING (f, j))",
+        ]
+    return f"WITH {', '.join(parts)} SELECT f AS feature_id, CAST(j AS INTEGER) AS program_idx, {s6('w', 'weight')} FROM w{steps}"
+
+
+@query(_mu_sql(2, 5))
+def nmf_mu_5iter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    assay = assays.activity(spark, sf_dir)
+    features = sorted(r[0] for r in assay.select("feature_id").distinct().collect())
+    return nmf.multiplicative_steps(assay, features, 2, 5).select("feature_id", "program_idx", r6("weight"))
+
+
+def _factors(spark: SparkSession, sf_dir: str, **options) -> nmf.Factors:
+    return nmf.factorise(assays.log_normalise(assays.purchases(spark, sf_dir)), 5, seed=42, **options)
+
+
+@query()
+def nmf_als(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _factors(spark, sf_dir).usage
+
+
+@query()
+def nmf_distributed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _factors(spark, sf_dir, local=False, maxit=8).basis
+
+
+@query()
+def deps_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return deps.find_all_deps(_usage(spark, sf_dir))
+
+
+@query()
+def consensus_programs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = consensus.run_consensus(assays.activity(spark, sf_dir), [2, 3], n_runs=6, seed=7)
+    return found.basis
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which brands define each purchasing program of the customers?"""
+    return factors.top_features(_factors(spark, sf_dir).basis, 10)
 
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+QUERIES["flagship"] = flagship
