@@ -56,7 +56,7 @@ def tokens(texts: list[bytes]) -> tuple[B.Words, np.ndarray]:
 
 def _pair_blocks(n: int):
     def run(batches):
-        for batch in B.blocks(batches, limit=2 * B.BLOCK_BYTES):
+        for batch in B.blocks(batches, limit=4 * B.BLOCK_BYTES):
             words, before = tokens(B.raw(batch))
             order = np.lexsort((words.h, before))
             v, w = before[order], words.h[order]
@@ -100,7 +100,7 @@ def _pair_shards(folder: str, n: int):
         key, v, w, count = key[order], v[order], w[order], count[order].astype(np.int64)
         head = B.groups(key)
         count, key, v, w = np.add.reduceat(count, head), key[head], v[head], w[head]
-        _save(folder, "pairs", int(key[0] % np.uint64(n)), key=key, count=count.astype(np.uint32))
+        _save(folder, "pairs", int(key[0] % np.uint64(n)), key=key, count=count.astype(np.min_scalar_type(int(count.max()))))
         of_counts = np.array([(count == i).sum() for i in range(1, 5)], np.int64)
         words, at = np.unique(np.concatenate([v, w]), return_inverse=True)
         a, b, k = at[: len(v)], at[len(v) :], len(words)
