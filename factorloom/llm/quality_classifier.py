@@ -43,7 +43,7 @@ def quality_classifier(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_R
     fit = B.written(fit.select(F.col("row.lang").cast("string").alias("lang"), "text", "part"), "trusted")
     meta = kneser_ney.train(fit.filter("part < 2").select("text"))
     held = fit.filter("part >= 2").select(F.struct("lang").alias("row"), "text")
-    logs = B.written(_per_token(kneser_ney.score(held, meta)).filter("n_tokens > 1").select("row.lang", "log_perplexity"), "trusted-scores", coalesce=1)
+    logs = B.written(_per_token(kneser_ney.score(held, meta)).filter("n_tokens > 1").select("row.lang", "log_perplexity"), "trusted-scores")
     every = logs.agg(F.percentile("log_perplexity", quantile)).first()[0]
     every = float("inf") if every is None else every + slack
     own = logs.filter("lang is not null").groupBy("lang").agg(F.percentile("log_perplexity", quantile).alias("q"), F.count("*").alias("n"))
