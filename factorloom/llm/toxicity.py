@@ -31,8 +31,9 @@ from pyspark.sql import functions as F
 from . import blocks as B
 
 FIT_ROWS = 20_000
-#: Lexicon entries at most, least likelihood ratio, least share of toxic texts among an entry's texts.
-ENTRIES, RATIO, PRECISION = 5000, 25.0, 0.75
+#: Lexicon entries at most, least likelihood ratio, least share of toxic texts among an entry's texts,
+#: share of a beginning's toxic texts from which one word stands for it.
+ENTRIES, RATIO, PRECISION, ONE_WORD = 5000, 25.0, 0.75, 0.8
 #: Cyrillic and Greek letters that look like Latin ones, and what digits and signs stand for inside words.
 _LOOKALIKES = dict(zip("асеорхуіјѕԁһӏԛԝвкмнтαεικνορτυχѵɑɡıοⅼ", "aceopxyijsdhlqwbkmhtaeiknoptuxvagiol"))
 _STANDS_FOR = dict(zip("013457@$", "oieastas"))
@@ -51,15 +52,21 @@ class _Fold(dict):
 
 
 _fold = _Fold()
-_INSIDE = re.compile(r"(?<=[^\W\d_])[013457@$]+(?=[^\W\d_])|(?<![\w@$])[013457@$]+(?=[^\W\d_]{2})|(?<=[^\W\d_]{2})[013457]+(?![\w@$])")
-_ANY = re.compile(r"[013457@$]")
+_ODD = re.compile(r"\S*[013457@$]\S*")
+
+
+def _plain(token: re.Match) -> str:
+    """A word with digits or signs: read as letters if at least half of it are letters."""
+    word = token[0].strip("@$")
+    if 2 * sum(c.isalpha() for c in word) >= len(word):
+        word = "".join(_STANDS_FOR.get(c, c) for c in word)
+    return word.replace("@", " ").replace("$", " ")
 
 
 def fold(text: str) -> str:
     """The folded text with a space at both ends."""
     out = text.lower().translate(_fold)
-    if _ANY.search(out):
-        out = _INSIDE.sub(lambda m: "".join(_STANDS_FOR[c] for c in m[0]), out).replace("@", " ").replace("$", " ")
+    out = _ODD.sub(_plain, out)
     return " " + " ".join(out.split()) + " "
 
 
@@ -91,8 +98,15 @@ def lexicon(sample: DataFrame, entries: int = ENTRIES) -> dict[str, float]:
     log = lambda x, y: F.when(x > 0, x * F.log(x / y)).otherwise(F.lit(0.0))
     ratio = 2.0 * (log(a, (a + b) * share) + log(b, (a + b) * (1 - share)))
     odds = F.log((a + 0.5) / (n1 + 1.0)) - F.log((b + 0.5) / (n0 + 1.0))
-    top = counted.filter((a / (a + b) >= PRECISION) & (ratio >= RATIO)).select("feature", odds.alias("weight"), ratio.alias("ratio"))
-    found = {r["feature"]: r["weight"] for r in top.orderBy(F.desc("ratio"), "feature").limit(entries).collect()}
+    top = counted.filter((a / (a + b) >= PRECISION) & (ratio >= RATIO)).select("feature", odds.alias("weight"), ratio.alias("ratio"), "a")
+    rows = top.orderBy(F.desc("ratio"), "feature").limit(entries).collect()
+    # A beginning that is nearly always the same word says no more than that word.
+    most: dict[str, float] = {}
+    for r in rows:
+        if r["feature"][-1] == " ":
+            for i in range(5, min(9, len(r["feature"]) - 1)):
+                most[r["feature"][:i]] = max(most.get(r["feature"][:i], 0), r["a"])
+    found = {r["feature"]: r["weight"] for r in rows if r["feature"][-1] == " " or most.get(r["feature"], 0) < ONE_WORD * r["a"]}
     # An entry whose beginning is one already would only count its match again.
     begins = {f for f in found if f[-1] != " "}
     return {f: w for f, w in found.items() if not any(f[:i] in begins for i in range(5, len(f.rstrip()) + (f[-1] == " ")))}
