@@ -33,6 +33,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 BLOCK_BYTES = 3 << 20
 #: Input text bytes that one bucket of a packed exchange stands for.
 BUCKET_BYTES = 16 << 20
+#: Drops an execution's shuffle files when it ends; what it has written outlives them.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 PACKED = "bucket int, payload binary"
 PACKED_ARROW = pa.schema([("bucket", pa.int32()), ("payload", pa.binary())])
 
@@ -246,7 +248,12 @@ def written(df: DataFrame, name: str, coalesce: int | None = None) -> DataFrame:
     release(spark)  # what earlier steps have left: their frames are gone only now
     path = f"{shared_folder(spark)}/factorloom/{name}-{uuid.uuid4().hex}"
     schema = df.schema
-    (df.coalesce(coalesce) if coalesce else df).write.parquet(path)
+    was = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        (df.coalesce(coalesce) if coalesce else df).write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, was)
     return spark.read.schema(schema).parquet(path)
 
 
