@@ -71,5 +71,26 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_quality_rules, op3_mixing, op4_quality_classifier, op5_jaccard_join, op6_lm_scoring, op7_toxicity, op8_token_counts, op9_nearest, op10_packing)}
 
-#: SQL that DuckDB can run for these queries. Operators that learn, sample or pack have none; they are tested against brute force.
-ORACLE_SQL: dict[str, str] = {}
+_WORDS = "regexp_extract_all({}, '[^\\x20\\x09-\\x0D]+')"
+
+_OP1 = f"""WITH w AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, {_WORDS.format("coalesce(text, '')")} AS ws FROM documents),
+g AS MATERIALIZED (SELECT rid, doc_id, p, array_to_string(ws[p:p + 12], ' ') AS k FROM (SELECT *, unnest(range(1, len(ws) - 11)) AS p FROM w WHERE len(ws) >= 13 AND doc_id IS NOT NULL)),
+first AS (SELECT k, min(doc_id) AS least FROM g GROUP BY k),
+gone AS (SELECT DISTINCT rid, unnest(range(p, p + 13)) AS q FROM g JOIN first USING (k) WHERE least < doc_id),
+x AS (SELECT rid, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS q FROM w),
+kept AS (SELECT x.rid, count(gone.q) AS n, string_agg(word, ' ' ORDER BY x.q) FILTER (WHERE gone.q IS NULL) AS t FROM x LEFT JOIN gone ON x.rid = gone.rid AND x.q = gone.q GROUP BY x.rid)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (rid)"""
+
+_OP5 = f"""WITH RECURSIVE w AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, {_WORDS.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS ws FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT rid, array_to_string(ws[p:p + 4], ' ') AS k FROM (SELECT *, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS p FROM w WHERE len(ws) > 0)),
+n AS MATERIALIZED (SELECT rid, count(*) AS n FROM s GROUP BY rid),
+named AS MATERIALIZED (SELECT s.* FROM s JOIN w USING (rid) WHERE doc_id IS NOT NULL),
+o AS (SELECT a.rid AS a, b.rid AS b, count(*) AS shared FROM named a JOIN named b ON a.k = b.k AND a.rid <> b.rid GROUP BY ALL),
+l AS MATERIALIZED (SELECT a, b FROM o JOIN n x ON x.rid = a JOIN n y ON y.rid = b WHERE 100 * shared >= 75 * (x.n + y.n - shared)),
+r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT a AS rid, min(doc_id) AS least FROM r JOIN w ON w.rid = b GROUP BY a)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, least(doc_id, least) AS component_id FROM w LEFT JOIN n USING (rid) LEFT JOIN c USING (rid)"""
+
+#: SQL that DuckDB can run for these queries.  Those that learn, sample, pack, search roughly or follow a
+#: tokenizer's rules have none; they are tested against brute force.
+ORACLE_SQL: dict[str, str] = {"op1_substring_dedup": _OP1, "op5_jaccard_join": _OP5}
