@@ -90,6 +90,25 @@ def _incidence(n: int, buckets: int):
 _KINDS = B.PACKED + ", kind int"
 
 
+#: A column bucket is worked on in this many parts of its names, so that only one part's working arrays are held.
+PARTS = 4
+
+
+def _shared_part(e: dict[str, np.ndarray], part: int) -> tuple[np.ndarray, ...]:
+    """(name, f1, f2, n, df) of the columns of one part of the names that two classes or more have."""
+    x = np.flatnonzero((B.mix(e["name"]) >> np.uint64(32)) % np.uint64(PARTS) == part)
+    name, local = e["name"][x], e["local"][x]
+    order = np.lexsort((e["t_f1"][local], name))
+    name, local = name[order], local[order]
+    f1, f2 = e["t_f1"][local], e["t_f2"][local]
+    at = B.groups(name, f1, f2)
+    name, f1, f2, local = name[at], f1[at], f2[at], local[at]
+    df = np.diff(np.r_[B.groups(name), len(name)])
+    df = np.repeat(df, df).astype(np.int32)
+    at = np.flatnonzero(df > 1)
+    return name[at], f1[at], f2[at], e["t_n"][local[at]].astype(np.int32), df[at]
+
+
 def _shared_columns(buckets: int):
     """Columns of two classes or more, back to the rows; documents' sizes pass through."""
 
@@ -101,18 +120,12 @@ def _shared_columns(buckets: int):
             if (kind == 1).any():
                 yield batch.filter(pa.array(kind == 1))
         e = B.gathered(held)
+        del held
         if not e:
             return
-        order = np.lexsort((e["t_f1"][e["local"]], e["name"]))
-        name, local = e["name"][order], e["local"][order]
-        f1, f2, n = e["t_f1"][local], e["t_f2"][local], e["t_n"][local]
-        at = B.groups(name, f1, f2)
-        name, f1, f2, n = name[at], f1[at], f2[at], n[at]
-        head = B.groups(name)
-        df = np.diff(np.r_[head, len(name)])
-        df = np.repeat(df, df)
-        at = np.flatnonzero(df > 1)
-        name, f1, f2, n, df = name[at], f1[at], f2[at], n[at].astype(np.int32), df[at].astype(np.int32)
+        parts = [_shared_part(e, part) for part in range(PARTS)]
+        name, f1, f2, n, df = (np.concatenate(x) for x in zip(*parts))
+        del e, parts
         bucket = (f1 % np.uint64(buckets)).astype(np.int64)
         rows = []
         for b, x in B.by_bucket(bucket, buckets):
@@ -145,7 +158,8 @@ def _bounded_rows(percent: int):
         if not e:
             return
         order = np.lexsort((e["col"], e["df"], e["f2"], e["f1"]))
-        f1, f2, n, col = (e[k][order] for k in ("f1", "f2", "n", "col"))
+        del e["df"]
+        f1, f2, n, col = (e.pop(k)[order] for k in ("f1", "f2", "n", "col"))
         # A column's count is the same wherever it is told, so doubles are neighbours.
         at = B.groups(f1, f2, col)
         f1, f2, n, col = f1[at], f2[at], n[at].astype(np.int64), col[at]
