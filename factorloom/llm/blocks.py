@@ -12,6 +12,7 @@ block, not one a row.
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import pickle
 import uuid
@@ -214,9 +215,22 @@ def with_table(at: np.ndarray, **columns: np.ndarray) -> dict[str, np.ndarray]:
     return {"local": local.astype(np.uint16 if len(used) < 65536 else np.uint32)} | {f"t_{k}": v[used] for k, v in columns.items()}
 
 
+def tidied(fn: Callable) -> Callable:
+    """``fn`` of a ``mapInArrow``, after which its worker, which Spark keeps, gives freed memory back to the system."""
+
+    def run(batches):
+        yield from fn(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+        if trim:
+            trim(0)
+
+    return run
+
+
 def exchange(df: DataFrame, n: int, fn: Callable, schema: str) -> DataFrame:
     """Deal packed rows to their buckets' tasks, then run ``fn`` (``mapInArrow``) there."""
-    return df.repartitionById(n, F.col("bucket")).mapInArrow(fn, schema)
+    return df.repartitionById(n, F.col("bucket")).mapInArrow(tidied(fn), schema)
 
 
 def bucket_count(df: DataFrame, text: str = "text", share: int = BUCKET_BYTES) -> int:

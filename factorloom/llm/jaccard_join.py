@@ -210,9 +210,9 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 75, hubs: int
     B.bounded_batches(spark)
     buckets = B.bucket_count(docs)
     base = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    dealt = base.mapInArrow(_incidence(n, buckets), _KINDS)
-    dealt = B.written(dealt.repartitionById(buckets, F.col("bucket")).mapInArrow(_shared_columns(buckets), _KINDS), "columns")
-    sizes = B.written(dealt.filter("kind = 1").select("payload").mapInArrow(_documents, f"doc_id long, n_shingles long, {_NODE}"), "sizes")
+    dealt = base.mapInArrow(B.tidied(_incidence(n, buckets)), _KINDS)
+    dealt = B.written(dealt.repartitionById(buckets, F.col("bucket")).mapInArrow(B.tidied(_shared_columns(buckets)), _KINDS), "columns")
+    sizes = B.written(dealt.filter("kind = 1").select("payload").mapInArrow(B.tidied(_documents), f"doc_id long, n_shingles long, {_NODE}"), "sizes")
     rows = B.written(B.exchange(dealt.filter("kind = 0").select("bucket", "payload"), buckets, _bounded_rows(percent), f"{_NODE}, n long, bound int, cols array<long>"), "rows")
     links = class_links(rows, percent, hubs)
     classes = sizes.filter("doc_id is not null and n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least"))

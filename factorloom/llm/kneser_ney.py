@@ -150,7 +150,7 @@ def train(texts: DataFrame) -> dict:
     B.bounded_batches(spark)
     folder = f"{_folder(B.shared_folder(spark))}/factorloom/model-{uuid.uuid4().hex}"
     n = B.bucket_count(texts)
-    dealt = texts.select(F.col("text").cast("string")).mapInArrow(_pair_blocks(n), B.PACKED)
+    dealt = texts.select(F.col("text").cast("string")).mapInArrow(B.tidied(_pair_blocks(n)), B.PACKED)
     words = B.exchange(dealt, n, _pair_shards(folder, n), B.PACKED)
     parts = B.exchange(words, n, _word_shards(folder, n), _META)
     got = parts.agg(F.sum("tokens"), F.sum("vocabulary"), F.sum("types"), *[F.sum(F.col(c)[i]) for c in ("of", "cont_of") for i in range(4)]).first()
@@ -239,7 +239,7 @@ def score(rows: DataFrame, meta: dict) -> DataFrame:
     """``row`` (kept) of a table (row, text) with token counts and the log10 probabilities of its text."""
     B.bounded_batches(rows.sparkSession)
     kind = rows.schema["row"].dataType.simpleString()
-    return rows.select("row", "text").mapInArrow(_score(meta), f"row {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return rows.select("row", "text").mapInArrow(B.tidied(_score(meta)), f"row {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def lm_scores(docs: DataFrame, held_out) -> DataFrame:

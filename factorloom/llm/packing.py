@@ -204,9 +204,9 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_token: int = 1, size: in
     """
     spark = docs.sparkSession
     B.bounded_batches(spark)
-    pieces = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_pieces(tokenizer, end_token, size), _PIECES)
+    pieces = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(B.tidied(_pieces(tokenizer, end_token, size)), _PIECES)
     pieces = B.written(pieces, "pieces")
     shards = int(pieces.filter(F.col("length") < size).count() // SHARD) + 1
     # A full window fills a sequence by itself; it is dealt with the rest only to number it.
     dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(shards)).cast("int"))
-    return dealt.repartitionById(shards, F.col("shard")).mapInArrow(_packer(size, shards), _PIECES + ", sequence_id long, offset long")
+    return dealt.repartitionById(shards, F.col("shard")).mapInArrow(B.tidied(_packer(size, shards)), _PIECES + ", sequence_id long, offset long")

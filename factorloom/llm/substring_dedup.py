@@ -266,10 +266,10 @@ def repeats(docs: DataFrame, window: int = 13, rounds: int = ROUNDS) -> DataFram
     B.bounded_batches(spark)
     n = B.bucket_count(docs)
     base = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64(F.col("text").cast("string")).alias("text_key")).filter("doc_id is not null and text is not null")
-    told = B.exchange(base.mapInArrow(_anchor_blocks(window, rounds, n), B.PACKED), n, _repeated_anchors(n), B.PACKED)
+    told = B.exchange(base.mapInArrow(B.tidied(_anchor_blocks(window, rounds, n)), B.PACKED), n, _repeated_anchors(n), B.PACKED)
     told = B.written(B.exchange(told, n, _document_rows, _DOCUMENT_ROWS), "anchors")
     B.release(spark)
-    named = base.join(told, ["doc_id", "text_key"], "left").mapInArrow(_window_blocks(window, rounds, n), B.PACKED)
+    named = base.join(told, ["doc_id", "text_key"], "left").mapInArrow(B.tidied(_window_blocks(window, rounds, n)), B.PACKED)
     later = B.exchange(named, n, _later_windows(n), B.PACKED)
     return B.written(B.exchange(later, n, _document_rows, _DOCUMENT_ROWS), "repeats")
 
@@ -309,4 +309,4 @@ def dedup_substrings(docs: DataFrame, window: int = 13, rounds: int = ROUNDS) ->
     key = F.col("row.text").cast("string")
     rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row")).select("row", key.alias("text"), F.col("row.doc_id").cast("long").alias("doc_id"), F.xxhash64(key).alias("text_key"))
     kind = rows.schema["row"].dataType.simpleString()
-    return rows.join(found, ["doc_id", "text_key"], "left").select("row", "text", "data").mapInArrow(_cut(window), f"row {kind}, kept_text string, n_words long, n_removed long")
+    return rows.join(found, ["doc_id", "text_key"], "left").select("row", "text", "data").mapInArrow(B.tidied(_cut(window)), f"row {kind}, kept_text string, n_words long, n_removed long")

@@ -127,4 +127,4 @@ def _counts(path: str):
 def token_counts(docs: DataFrame, vocabulary: str) -> DataFrame:
     """(doc_id, n_chars, n_tokens) for every row; ``vocabulary`` is a sentencepiece file that workers can open."""
     B.bounded_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_counts(vocabulary), "doc_id long, n_chars long, n_tokens long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(B.tidied(_counts(vocabulary)), "doc_id long, n_chars long, n_tokens long")

@@ -94,7 +94,7 @@ def lexicon(sample: DataFrame, entries: int = ENTRIES) -> dict[str, float]:
         return {}
     a, b = F.col("a"), F.col("b")
     share = n1 / (n1 + n0)
-    counted = sample.mapInArrow(_feature_rows, "feature string, toxic int").groupBy("feature").agg(F.sum("toxic").cast("double").alias("a"), F.sum(1 - F.col("toxic")).cast("double").alias("b"))
+    counted = sample.mapInArrow(B.tidied(_feature_rows), "feature string, toxic int").groupBy("feature").agg(F.sum("toxic").cast("double").alias("a"), F.sum(1 - F.col("toxic")).cast("double").alias("b"))
     log = lambda x, y: F.when(x > 0, x * F.log(x / y)).otherwise(F.lit(0.0))
     ratio = 2.0 * (log(a, (a + b) * share) + log(b, (a + b) * (1 - share)))
     odds = F.log((a + 0.5) / (n1 + 1.0)) - F.log((b + 0.5) / (n0 + 1.0))
@@ -185,7 +185,7 @@ def _phrases(entries):
 
 def measures(rows: DataFrame, entries: dict[str, float], exceptions: set[str]) -> DataFrame:
     kind = rows.schema["row"].dataType.simpleString()
-    return rows.select("row", "text").mapInArrow(_measures(entries, exceptions), f"row {kind}, total double, density double, n_matches long")
+    return rows.select("row", "text").mapInArrow(B.tidied(_measures(entries, exceptions)), f"row {kind}, total double, density double, n_matches long")
 
 
 def fit(sample: DataFrame) -> tuple[dict[str, float], set[str], list[float]]:
@@ -193,7 +193,7 @@ def fit(sample: DataFrame) -> tuple[dict[str, float], set[str], list[float]]:
     entries = lexicon(sample)
     if not entries:
         return {}, set(), [-30.0, 0.0, 0.0]
-    phrases = sample.mapInArrow(_phrases(entries), "phrase string, toxic int").groupBy("phrase").agg(F.sum("toxic").alias("a"), F.count("*").alias("n"))
+    phrases = sample.mapInArrow(B.tidied(_phrases(entries)), "phrase string, toxic int").groupBy("phrase").agg(F.sum("toxic").alias("a"), F.count("*").alias("n"))
     exceptions = {r["phrase"] for r in phrases.filter("a = 0 and n >= 3").orderBy(F.desc("n"), "phrase").limit(ENTRIES).collect()}
     got = measures(sample.select(F.struct("toxic").alias("row"), "text"), entries, exceptions).select("row.toxic", "total", "density").collect()
     x = _inputs([r["total"] for r in got], [r["density"] for r in got])
