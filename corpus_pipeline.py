@@ -8,6 +8,7 @@ return the columns of ``documents``; ``n_chars`` follows the text.
 
 Null ids and texts: a text that is null is rejected by the first stage; a null
 id is in no group, gives and loses no words, and is mixed and packed as usual.
+Rows that repeat an id stay or go together.
 """
 
 from __future__ import annotations
