@@ -97,16 +97,40 @@ def leaf_order(merges: list[tuple[int, int, float]], n: int) -> list[int]:
     return held[n + len(merges) - 1] if merges else list(range(n))
 
 
+def cophenetic_distances(d: np.ndarray) -> np.ndarray:
+    """Heights at which average linkage joins each pair, by a nearest-neighbour chain: O(n^2)."""
+    n = len(d)
+    d, coph = d.astype(float), np.zeros((n, n))
+    np.fill_diagonal(d, np.inf)  # joined clusters are infinitely far too
+    members, open_, chain = [np.array([i]) for i in range(n)], np.ones(n, bool), []
+    for _ in range(n - 1):
+        chain = chain or [int(np.argmax(open_))]
+        while True:
+            a = chain[-1]
+            b = int(np.argmin(d[a]))
+            if len(chain) > 1 and d[a, chain[-2]] <= d[a, b]:
+                b = chain[-2]
+                break
+            chain.append(b)
+        del chain[-2:]
+        coph[np.ix_(members[a], members[b])] = coph[np.ix_(members[b], members[a])] = d[a, b]
+        p, q = len(members[a]), len(members[b])
+        d[a] = d[:, a] = (p * d[a] + q * d[b]) / (p + q)
+        d[b] = d[:, b] = d[a, a] = np.inf
+        members[a], open_[b] = np.concatenate([members[a], members[b]]), False
+    return coph
+
+
 def cophenetic_correlation(consensus: np.ndarray) -> float:
-    """Correlation of distances with the heights at which average linkage joins their pairs."""
-    d, n = 1.0 - consensus, len(consensus)
-    coph, held = np.zeros((n, n)), {i: [i] for i in range(n)}
-    for i, (a, b, h) in enumerate(linkage(d, "average")):
-        for p in held[a]:
-            coph[p, held[b]] = coph[held[b], p] = h
-        held[n + i] = held.pop(a) + held.pop(b)
-    x, y = d[np.triu_indices(n, 1)], coph[np.triu_indices(n, 1)]
-    return float(np.corrcoef(x, y)[0, 1]) if len(x) > 1 and x.std() and y.std() else 1.0
+    """Correlation of distances with the heights at which average linkage joins their pairs.
+
+    1 if either doesn't vary.  A matrix of one clustering holds 0 and 1 alone, a
+    tree of two heights that average linkage returns as it is: its value is 1.
+    """
+    d, pairs = 1.0 - consensus, np.triu_indices(len(consensus), 1)
+    x, y = d[pairs], cophenetic_distances(d)[pairs]
+    # Rounded, so that equal values don't get different ranks by the last bits.
+    return round(float(np.corrcoef(x, y)[0, 1]), 12) if len(x) > 1 and x.std() and y.std() else 1.0
 
 
 def permutations(k: int) -> list[tuple[int, ...]]:
@@ -174,7 +198,12 @@ def select_k(metrics: pd.DataFrame, method: str = "combined") -> int:
 
 
 def run_consensus(assay: DataFrame, k_range: list[int], n_runs: int = 100, density_threshold: float = 0.5, tol: float = 1e-5, maxit: int = 100, seed: int = 0, method: str = "combined") -> Consensus:
-    """Factorise with every k and seed, cluster spectra, and refit usage on the clusters' medians for the best k."""
+    """Factorise with every k and seed, cluster spectra, and refit usage on the clusters' medians for the best k.
+
+    ``stability`` is the cophenetic correlation of the consensus matrix at every
+    size.  Spectra are clustered once for each k, so it is 1 for each (see
+    ``cophenetic_correlation``) and doesn't tell values of k apart.
+    """
     spark = assay.sparkSession
     features = sorted(r[0] for r in assay.select("feature_id").distinct().collect())
     a = nmf._dense(nmf.sparse_rows(assay, features).toPandas().sort_values("cell_id"), len(features))
@@ -189,7 +218,7 @@ def run_consensus(assay: DataFrame, k_range: list[int], n_runs: int = 100, densi
         label = kmeans(kept, k, seed)
         median = np.stack([np.median(spectra[valid][label == j], axis=0) if (label == j).any() else np.zeros(len(features)) for j in range(k)])
         medians[k] = (median / np.maximum(median.sum(axis=1, keepdims=True), 1e-15)).T
-        stable = cophenetic_correlation(consensus_matrix(valid, label, len(spectra))) if len(spectra) <= 300 else float(valid.mean())
+        stable = cophenetic_correlation(consensus_matrix(valid, label, len(spectra)))
         per_run = got[got["k"] == k].groupby("seed")["spectrum"].apply(lambda s: np.stack(s.to_list()).T).to_list()
         agree = [np.mean([1 - cosine_distance(w[:, j], medians[k][:, m]) for j, m in enumerate(best_matching(w, medians[k]))]) for w in per_run]
         rows.append((k, stable, silhouette(kept, label), float(np.mean(agree)), int(valid.sum()), float(got[got["k"] == k]["error"].min())))

@@ -166,6 +166,20 @@ def test_consensus_and_specs(spark, planted):
     assert specs.scatter("odd")["scale"] == "viridis"
 
 
+def test_stability_is_one_measure_at_every_size(planted):
+    d = np.random.default_rng(4).random((40, 40))
+    d = (d + d.T) / 2
+    want, held = np.zeros((40, 40)), {i: [i] for i in range(40)}
+    for i, (a, b, h) in enumerate(consensus.linkage(d, "average")):
+        want[np.ix_(held[a], held[b])] = want[np.ix_(held[b], held[a])] = h
+        held[40 + i] = held.pop(a) + held.pop(b)
+    assert np.allclose(consensus.cophenetic_distances(d), want)
+    # 304 spectra, of which the filter drops some.
+    found = consensus.run_consensus(planted[1], [4], n_runs=76, density_threshold=0.05, maxit=30)
+    row = found.metrics.first()
+    assert row.n_spectra < 304 and row.stability == 1
+
+
 def test_subset_and_missing_columns(spark, planted):
     _, assay = planted
     assert assays.subset_features(assay, ["f00"]).select("feature_id").distinct().count() == 1
