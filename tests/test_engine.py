@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from factorloom.functions import stats
 from factorloom.operators import consensus, deps, factors, nmf, programs
 from factorloom.operators.experiment import Experiment
-from factorloom.plans import specs
+from factorloom.plans import registry, specs
 from factorloom.sources import assays
 from factorloom.streaming.projection import project_stream
 
@@ -53,6 +53,15 @@ def test_distributed_equals_local(planted):
         assert np.allclose(_wide(local.basis, "feature_id"), _wide(far.basis, "feature_id"), atol=1e-6)
 
 
+def test_distributed_query_runs_to_the_default_limits(spark):
+    sf = "/root/testdata/sf0.001"
+    got = registry.nmf_distributed(spark, sf)
+    ended = got.first()
+    assert ended.converged == (ended.final_tol < 1e-5) and (ended.converged or ended.iterations == 100)
+    want = registry._factors(spark, sf)  # the local path, default limits
+    assert np.allclose(_wide(got, "feature_id"), _wide(want.basis, "feature_id"), atol=1e-6)
+
+
 def test_masked_zeros_and_penalty(planted):
     _, assay = planted
     assert nmf.factorise(assay, 2, seed=1, maxit=3, mask_zeros=True).basis.count() == 40
