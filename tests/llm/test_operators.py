@@ -230,6 +230,26 @@ def test_quality_classifier_rejects_noise(spark, docs, empty):
     assert quality_classifier.quality_classifier(docs, labels.filter("false")).filter("kept").count() > 0
 
 
+def test_a_rare_language_has_its_own_threshold(spark):
+    """More good labels than may be trained on, few of them French, whose words vary more."""
+    rnd = random.Random(3)
+    en = [(i, " ".join(f"e{rnd.randrange(20)}" for _ in range(30)), "en") for i in range(2000)]
+    fr = [(5000 + i, " ".join(f"f{rnd.randrange(300)}" for _ in range(30)), "fr") for i in range(160)]
+    few = [(9000 + i, " ".join(f"g{rnd.randrange(300)}" for _ in range(30)), "de") for i in range(20)]
+    table = spark.createDataFrame([*en, *fr, *few], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1) for i, *_ in [*en, *fr, *few]], "doc_id long, quality int")
+    got = quality_classifier.quality_classifier(table, labels, fit_rows=400).select("row.lang", "threshold", "kept").collect()
+    limit = {r.lang: r.threshold for r in got}
+    assert len({r.threshold for r in got if r.lang == "fr"}) == 1 and limit["fr"] > 2 * limit["en"]
+    assert sum(r.kept for r in got if r.lang == "fr") >= 155
+    q = quality_classifier._quantiles(spark.createDataFrame([("a", float(x)) for x in range(11)] + [("b", 0.5)], "lang string, log_perplexity double"), 0.93)
+    assert {(r.lang, r.n, round(r.q, 9)) for r in q.collect()} == {("a", 11, 9.3), ("b", 1, 0.5)}
+    # Of 100 ids to train on, half go to languages in turn.
+    named, good = table.select(F.col("doc_id").alias("good_id"), "lang"), table.select(F.col("doc_id").alias("good_id"))
+    took = Counter(r.lang for r in quality_classifier._sample(named, good, 100).join(named, "good_id").collect())
+    assert sum(took.values()) == 100 and took["fr"] >= 18 and took["de"] >= 5
+
+
 def test_toxicity(spark, empty):
     rnd = random.Random(4)
     vocab = [f"harmless{i}" for i in range(50)]
