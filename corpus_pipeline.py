@@ -8,7 +8,8 @@ return the columns of ``documents``; ``n_chars`` follows the text.
 
 Null ids and texts: a text that is null is rejected by the first stage; a null
 id is in no group, gives and loses no words, and is mixed and packed as usual.
-Rows that repeat an id stay or go together.
+Rows that repeat an id are judged one by one: of a group's rows with its
+smallest id one stays, that of the least hash.
 """
 
 from __future__ import annotations
@@ -30,11 +31,27 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near duplicates; documents without an id."""
+    named = docs.filter("doc_id is not null").groupBy("doc_id").count()
+    if not named.filter("count > 1").isEmpty():
+        return _near_duplicate_rows(docs)
     found = jaccard_join.jaccard_components(docs.select("doc_id", "text"), n=5, percent=75)
     gone = found.filter("doc_id <> component_id").select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
+def _near_duplicate_rows(docs: DataFrame) -> DataFrame:
+    """The same where ids repeat: rows are numbered, and one row of each group stays."""
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), F.monotonically_increasing_id().alias("at"))
+    rows = blocks.written(rows, "numbered")  # the numbers hold for both uses
+    named = rows.filter("row.doc_id is not null")
+    found = jaccard_join.jaccard_components(named.select(F.col("at").alias("doc_id"), "row.text"), n=5, percent=75).select(F.col("doc_id").alias("at"), "component_id")
+    order = F.struct(F.col("row.doc_id").cast("long"), F.xxhash64("row.text"), F.xxhash64("row"), "at")
+    found = blocks.written(found.join(named.select("at", order.alias("order")), "at"), "numbered-groups")
+    first = found.groupBy("component_id").agg(F.min("order").alias("first")).select("component_id", F.col("first.at").alias("first"))
+    gone = found.join(first, "component_id").filter("at <> first").select("at")
+    return rows.join(gone, "at", "left_anti").select("row.*")
+
+
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the words of passages that a document with a smaller id has."""
     out = substring_dedup.dedup_substrings(docs, window=13).filter("n_removed = 0 or n_removed < n_words")

@@ -65,6 +65,18 @@ def test_every_stage_equals_its_plain_version(spark, folder):
     assert max(ends.values()) <= 2048 and len(ends) == plain.sequences([r.length for r in got])
 
 
+def test_one_row_of_a_group_stays_where_ids_repeat(spark):
+    text = lambda c: " ".join(f"{c}{i}" for i in range(40))
+    near = text("a").replace("a39", "z")
+    docs = [(1, text("a"), "x"), (1, text("a"), "x"), (1, near, "y"), (2, text("b"), "x"), (3, text("b"), "x"), (3, text("c"), "x"), (4, text("d"), "x"), (None, text("d"), "x")]
+    table = spark.createDataFrame(docs, "doc_id long, text string, source string").repartition(3)
+    got = corpus_pipeline.near_duplicates(spark, table, SF)
+    assert got.columns == table.columns
+    got = [tuple(r) for r in got.collect()]
+    assert sum(r[0] == 1 for r in got) == 1
+    assert Counter(r for r in got if r[0] != 1) == Counter([docs[3], docs[5], docs[6], docs[7]])
+
+
 def test_stages_on_the_given_tables(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     columns, counts = docs.columns, [docs.count()]
