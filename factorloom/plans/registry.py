@@ -387,7 +387,7 @@ def deps_full(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def consensus_programs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = consensus.run_consensus(assays.activity(spark, sf_dir), [2, 3], n_runs=6, seed=7)
+    found = consensus.run_consensus(assays.activity(spark, sf_dir), [2, 3], seed=7)
     return found.basis
 
 

@@ -189,6 +189,13 @@ def test_stability_is_one_measure_at_every_size(planted):
     assert row.n_spectra < 304 and row.stability == 1
 
 
+def test_consensus_query_takes_the_default_runs(spark, monkeypatch):
+    held, run = [], consensus.run_consensus
+    monkeypatch.setattr(consensus, "run_consensus", lambda *a, **b: held.append(run(*a, **b)) or held[-1])
+    assert registry.consensus_programs(spark, "/root/testdata/sf0.001").count() > 0
+    assert held[0].settings["n_runs"] == 100 and {r.k: r.n_spectra for r in held[0].metrics.collect()}[2] > 12
+
+
 def test_subset_and_missing_columns(spark, planted):
     _, assay = planted
     assert assays.subset_features(assay, ["f00"]).select("feature_id").distinct().count() == 1
