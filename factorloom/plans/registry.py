@@ -328,7 +328,7 @@ _LOGFC = "CASE WHEN raw = CAST('Infinity' AS DOUBLE) THEN 10 WHEN raw = CAST('-I
 @query(f"WITH {_DEPS}, x AS (SELECT program, cell_type, {_LOGFC} AS logfc FROM v0) SELECT program, {', '.join(s6(f'max(logfc) FILTER (cell_type = {chr(39)}{i}{chr(39)})', f'g{i}') for i in range(10))} FROM x GROUP BY 1")
 def deps_heatmap(spark: SparkSession, sf_dir: str) -> DataFrame:
     wide = deps.fold_pivot(deps.fold_matrix(_deps_table(spark, sf_dir)))
-    return wide.select("program", *[(F.round(F.col(f"`{i}`"), 6) + F.lit(0.0)).alias(f"g{i}") for i in range(10)])
+    return wide.select("program", *[(F.round(F.col(f"`{i}`"), 6) + F.lit(0.0)).alias(f"g{i}") for i in wide.columns[1:]])
 
 
 @query(f"WITH {_DEPS}, x AS (SELECT program, cell_type, {_LOGFC} AS logfc FROM v0) SELECT program, cell_type, {s6('logfc', 'logfc')}, CASE WHEN logfc >= 0.05 THEN '*' ELSE '' END AS star FROM x")

@@ -136,6 +136,14 @@ def test_deps_edges(spark):
     assert deps.fold_matrix(deps.find_all_deps(_usage(spark, rows))).filter("abs(logfc) > 10").count() == 0
 
 
+def test_deps_heatmap_has_every_label(spark, monkeypatch):
+    rows = [("NMF_1", "0", 2.0), ("NMF_1", "10", 4.0), ("NMF_2", "10", 8.0)]
+    monkeypatch.setattr(registry, "_deps_table", lambda *_: spark.createDataFrame(rows, "program string, cell_type string, fold_enrichment double"))
+    got = registry.deps_heatmap(spark, "")
+    assert got.columns == ["program", "g0", "g10"]
+    assert sorted(map(tuple, got.collect())) == [("NMF_1", 1.0, 2.0), ("NMF_2", None, 3.0)]
+
+
 def test_tails():
     assert abs(stats.normal_tail(1.959963984540054) - 0.05) < 1e-12
     assert abs(stats.t_tail(2.2281388519649385, 10) - 0.05) < 1e-9
