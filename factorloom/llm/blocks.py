@@ -12,6 +12,7 @@ block, not one a row.
 
 from __future__ import annotations
 
+import atexit
 import ctypes
 import gc
 import pickle
@@ -36,6 +37,10 @@ BLOCK_BYTES = 3 << 20
 BUCKET_BYTES = 16 << 20
 #: Drops an execution's shuffle files when it ends; what it has written outlives them.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Payloads that a block or a task deals at most in one step.
+FAN = 512
+#: Bytes of entries that a task gathers before it deals them on.
+REGROUP_BYTES = 16 << 20
 PACKED = "bucket int, payload binary"
 PACKED_ARROW = pa.schema([("bucket", pa.int32()), ("payload", pa.binary())])
 
@@ -143,9 +148,11 @@ def window_names(h: np.ndarray, size: int, salt: int = 0) -> np.ndarray:
         level = join2(level[: len(level) - half], level[half:], salt)
 
 
-def pack(**arrays: np.ndarray) -> bytes:
+def pack(_kind: int = 0, **arrays: np.ndarray) -> bytes:
     """Arrays as one compressed value; integer bytes are transposed so that their leading zeros meet.
 
+    Its first byte is the payload's kind.
+
     ``name`` is kept as the steps between its values, which are small where it is sorted.
     """
     out = {}
@@ -154,12 +161,12 @@ def pack(**arrays: np.ndarray) -> bytes:
         if k == "name":  # sorted hashes: keep the steps between them
             a = np.diff(a, prepend=a.dtype.type(0))
         out[k] = (a.dtype.str, a.view(np.uint8).reshape(len(a), -1).T.tobytes() if len(a) else b"")
-    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(out, protocol=5))
+    return bytes([_kind]) + zstandard.ZstdCompressor(level=1).compress(pickle.dumps(out, protocol=5))
 
 
 def unpack(payload: bytes) -> dict[str, np.ndarray]:
     out = {}
-    for k, (kind, data) in pickle.loads(zstandard.ZstdDecompressor().decompress(payload)).items():
+    for k, (kind, data) in pickle.loads(zstandard.ZstdDecompressor().decompress(memoryview(payload)[1:])).items():
         d = np.dtype(kind)
         out[k] = np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(d.itemsize, -1).T).reshape(-1).view(d) if data else np.zeros(0, d)
         if k == "name":
@@ -171,13 +178,13 @@ def packed(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), pa.array([p for _, p in rows], pa.binary())], schema=PACKED_ARROW)
 
 
-def by_bucket(bucket: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
+def by_bucket(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """(bucket, positions in their order) for each bucket that occurs."""
     order = np.argsort(bucket, kind="stable")
-    ends = np.searchsorted(bucket[order], np.arange(n + 1))
-    for b in range(n):
-        if ends[b + 1] > ends[b]:
-            yield b, order[ends[b] : ends[b + 1]]
+    held = bucket[order]
+    ends = np.r_[groups(held), len(held)] if len(held) else [0]
+    for a, b in zip(ends[:-1], ends[1:]):
+        yield int(held[a]), order[a:b]
 
 
 def groups(*keys: np.ndarray) -> np.ndarray:
@@ -192,27 +199,20 @@ def groups(*keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def gathered(batches) -> dict[str, np.ndarray]:
-    """All payloads of a task as one dictionary of long arrays.
-
-    Columns named ``t_*`` are tables of a payload; its column ``local`` points into them and is moved along.
-    """
-    parts = [unpack(p) for batch in batches for p in column(batch, "payload").to_pylist()]
-    if not parts:
-        return {}
-    if "local" in parts[0]:
-        table = next(k for k in parts[0] if k.startswith("t_"))
-        base = 0
-        for p in parts:
-            p["local"] = p["local"].astype(np.int64) + base
-            base += len(p[table])
-    return {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}
+def gathered(payloads) -> dict[str, np.ndarray]:
+    """Payloads as one dictionary of long arrays; those of ``batches`` if given Arrow batches."""
+    parts = [unpack(p) for x in payloads for p in (column(x, "payload").to_pylist() if isinstance(x, pa.RecordBatch) else [x])]
+    # Each column's pieces are freed as soon as they are put together.
+    return {k: np.concatenate([p.pop(k) for p in parts]) for k in list(parts[0])} if parts else {}
 
 
-def with_table(at: np.ndarray, **columns: np.ndarray) -> dict[str, np.ndarray]:
-    """``local`` and the ``t_*`` tables for entries that stand for rows ``at`` of the columns."""
-    used, local = np.unique(at, return_inverse=True)
-    return {"local": local.astype(np.uint16 if len(used) < 65536 else np.uint32)} | {f"t_{k}": v[used] for k, v in columns.items()}
+def of_kinds(batches, n: int = 2) -> list[list[bytes]]:
+    """The payloads of Arrow batches by their kind."""
+    out: list[list[bytes]] = [[] for _ in range(n)]
+    for batch in batches:
+        for p in column(batch, "payload").to_pylist():
+            out[p[0]].append(p)
+    return out
 
 
 def tidied(fn: Callable) -> Callable:
@@ -228,8 +228,60 @@ def tidied(fn: Callable) -> Callable:
     return run
 
 
-def exchange(df: DataFrame, n: int, fn: Callable, schema: str) -> DataFrame:
-    """Deal packed rows to their buckets' tasks, then run ``fn`` (``mapInArrow``) there."""
+def ranged(name: np.ndarray, n: int) -> np.ndarray:
+    """The bucket of each hash, by its size: a bucket's sorted hashes are as close together as all are, whatever ``n`` is."""
+    return ((name >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
+
+
+def first_step(n: int, fan: int = FAN) -> int:
+    """How many neighbouring buckets are dealt as one in the first step of an exchange of ``n`` buckets."""
+    step = 1
+    while -(-n // step) > fan:
+        step *= fan
+    return step
+
+
+def _regroup(route: Callable, step: int):
+    """Payloads of several senders as fewer and larger ones, each for ``step`` buckets."""
+
+    def run(batches):
+        held: dict[int, list] = {}
+        size = 0
+
+        def flush():
+            for kind, parts in held.items():
+                e = {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}
+                bucket = route(kind, e) // step
+                for b, at in by_bucket(bucket):
+                    yield packed([(b, pack(kind, **{k: v[at] for k, v in e.items()}))])
+
+        for batch in batches:
+            for p in column(batch, "payload").to_pylist():
+                e = unpack(p)
+                held.setdefault(p[0], []).append(e)
+                size += sum(v.nbytes for v in e.values())
+                if size > REGROUP_BYTES:
+                    yield from flush()
+                    held, size = {}, 0
+        yield from flush()
+
+    return run
+
+
+def exchange(df: DataFrame, n: int, fn: Callable, schema: str, route: Callable | None = None, fan: int = FAN) -> DataFrame:
+    """Deal packed rows to their buckets' tasks, then run ``fn`` (``mapInArrow``) there.
+
+    With ``route`` (the buckets of a payload's entries, from its kind and them) the rows of ``df`` carry
+    ``bucket // first_step(n)``: a block then deals ``fan`` payloads at most
+    however many buckets there are, and steps between put payloads together and
+    deal them on.  Payloads thus grow in number with the input, not its square.
+    """
+    step = first_step(n, fan) if route else 1
+    while step > 1:
+        # A coarse bucket's payloads are shared out to tasks, each of which deals about eight buckets' worth.
+        coarse, salts = -(-n // step), max(1, step // 8)
+        step //= fan
+        df = df.repartition(coarse * salts, "bucket", F.pmod(F.crc32("payload"), F.lit(salts))).mapInArrow(tidied(_regroup(route, step)), PACKED)
     return df.repartitionById(n, F.col("bucket")).mapInArrow(tidied(fn), schema)
 
 
@@ -246,9 +298,11 @@ def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own if unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where all run on one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         import tempfile
 
         found = f"file://{tempfile.gettempdir()}/factorloom-checkpoints"
@@ -256,11 +310,65 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Tables of this session that are still there.
+_left: dict[str, SparkSession] = {}
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared file system."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    _left.pop(path, None)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete written tables that nothing reads any more."""
+    for t in tables:
+        if t is not None and getattr(t, "_written", None) in _left:
+            delete(t.sparkSession, t._written)
+
+
+def cleanup() -> None:
+    """Delete every table that is left; results that read them are no longer usable.  Runs when Python ends, too."""
+    for path, spark in list(_left.items()):
+        try:
+            delete(spark, path)
+        except Exception:  # noqa: BLE001  the session has ended and with it the way to its file system
+            _left.pop(path, None)
+
+
+atexit.register(cleanup)
+
+
+def keep(spark: SparkSession, path: str) -> str:
+    """Note a folder for :func:`cleanup`."""
+    _left[path] = spark
+    return path
+
+
+_STEADY = {"Project", "Filter", "LocalRelation", "Range", "SubqueryAlias", "Relation", "LogicalRelation"}
+
+
+def steady(df: DataFrame) -> DataFrame:
+    """``df`` if its tasks read the same rows in the same order whenever they run again, else a written copy.
+
+    Rows that are named by their place in a block need that; it holds for what is
+    read from files and not for what comes out of a shuffle.
+    """
+    todo = [df._jdf.queryExecution().optimizedPlan()]
+    while todo:
+        node = todo.pop()
+        if node.nodeName().split(" ")[0] not in _STEADY:
+            return written(df, "input")
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    return df
+
+
 def written(df: DataFrame, name: str, coalesce: int | None = None) -> DataFrame:
     """Write a table to the shared folder and read it back: lineage ends there and lost executors lose nothing."""
     spark = df.sparkSession
     release(spark)  # what earlier steps have left: their frames are gone only now
-    path = f"{shared_folder(spark)}/factorloom/{name}-{uuid.uuid4().hex}"
+    path = keep(spark, f"{shared_folder(spark)}/factorloom/{name}-{uuid.uuid4().hex}")
     schema = df.schema
     was = spark.conf.get(_CLEANUP)
     spark.conf.set(_CLEANUP, "true")
@@ -268,7 +376,9 @@ def written(df: DataFrame, name: str, coalesce: int | None = None) -> DataFrame:
         (df.coalesce(coalesce) if coalesce else df).write.parquet(path)
     finally:
         spark.conf.set(_CLEANUP, was)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out._written = path
+    return out
 
 
 def release(spark: SparkSession) -> None:

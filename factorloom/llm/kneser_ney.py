@@ -64,7 +64,7 @@ def _pair_blocks(n: int):
             count = np.diff(np.r_[head, len(v)]).astype(np.uint32)
             v, w = v[head], w[head]
             rows = []
-            for b, x in B.by_bucket((B.join2(v, w) % np.uint64(n)).astype(np.int64), n):
+            for b, x in B.by_bucket((B.join2(v, w) % np.uint64(n)).astype(np.int64)):
                 runs = B.groups(v[x])
                 rows.append((b, B.pack(name=v[x][runs], run=np.diff(np.r_[runs, len(x)]).astype(np.uint32), w=w[x], count=count[x])))
             if rows:
@@ -107,7 +107,7 @@ def _pair_shards(folder: str, n: int):
         sums = {"c": np.bincount(b, count, k), "cont": np.bincount(b, None, k), "ctx": np.bincount(a, count, k)}
         sums |= {f"n{i}": np.bincount(a, (count == i) if i < 3 else (count > 2), k) for i in (1, 2, 3)}
         rows = []
-        for b, x in B.by_bucket((words % np.uint64(n)).astype(np.int64), n):
+        for b, x in B.by_bucket((words % np.uint64(n)).astype(np.int64)):
             rows.append((b, B.pack(name=words[x], **{c: sums[c][x].astype(np.int64) for c in _WORD}, of=of_counts if not rows else np.zeros(0, np.int64))))
         yield B.packed(rows)
 
@@ -175,7 +175,7 @@ class Model:
     def lookup(self, kind: str, key: str, query: np.ndarray, names) -> dict[str, np.ndarray]:
         """Values of sorted distinct hashes, 0 where unknown."""
         out = {c: np.zeros(len(query), np.int64) for c in names}
-        for shard, x in B.by_bucket((query % np.uint64(self.meta["shards"])).astype(np.int64), self.meta["shards"]):
+        for shard, x in B.by_bucket((query % np.uint64(self.meta["shards"])).astype(np.int64)):
             keys = self.column(kind, shard, key)
             if not len(keys):
                 continue

@@ -94,10 +94,16 @@ def test_equal_windows_have_equal_anchors():
         h = B.mix(rnd.integers(0, kinds, 20000).astype(np.uint64) + np.uint64(9))
         doc = np.repeat(np.arange(10), 2000)
         starts = np.flatnonzero(doc[:-12] == doc[12:])
-        name = substring_dedup.anchors(h, doc, starts, 13)
-        held = {}
-        for s, a in zip(starts, name):
-            assert held.setdefault(h[s : s + 13].tobytes(), a) == a
+        symbols = substring_dedup.Symbols(h, doc)
+        name = symbols.anchors(starts, 13)
+        k1, k2 = symbols.names(starts, 13)
+        held, spelt = {}, [{}, {}]
+        for s, a, x, y in zip(starts, name, k1, k2):
+            words = h[s : s + 13].tobytes()
+            assert held.setdefault(words, a) == a
+            # Names are made of symbols and tell windows apart.
+            assert spelt[0].setdefault(x, words) == words and spelt[1].setdefault(y, words) == words
+        assert len(spelt[0]) == len(held) == len(spelt[1])
     assert (name != 0).mean() > 0.9
 
 
