@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from . import blocks as B
 
 
-def components(links: DataFrame, name: str = "components", rounds: int = 60) -> DataFrame:
+def components(links: DataFrame, name: str = "components") -> DataFrame:
     """(node, label): the smallest node reachable, for every node of ``links`` (a, b).
 
     Each round takes the smallest label among a node's neighbours and then the
@@ -18,12 +18,13 @@ def components(links: DataFrame, name: str = "components", rounds: int = 60) ->
     both = links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).filter("a <> b").distinct()
     both = B.written(both, f"{name}-links")
     held = B.written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.least("node", "least").alias("label")), f"{name}-labels")
-    for _ in range(rounds):
+    while True:  # labels only fall, so this ends
         near = both.join(held.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         new = held.join(near, "node", "left").select("node", F.col("label").alias("was"), F.least("label", "near").alias("label"))
         jump = held.select(F.col("node").alias("label"), F.col("label").alias("further"))
         new = B.written(new.join(jump, "label", "left").select("node", "was", F.least("label", "further").alias("label")), f"{name}-labels")
+        B.discard(held)
         if new.filter("label <> was").isEmpty():
-            return new.select("node", "label")
-        held = new.select("node", "label")
-    raise RuntimeError("the links' components didn't settle")
+            B.discard(both)
+            return new
+        held = new

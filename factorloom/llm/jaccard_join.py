@@ -1,40 +1,50 @@
 """N-gram Jaccard join as a blocked sparse product of the document by n-gram incidence.
 
 The incidence matrix is cut into column blocks by n-gram hash.  One pass over
-the texts deals each document's distinct n-grams to their blocks; a block drops
-the columns with one document (they overlap with nothing) and sends the rest
-back as rows, rarest column first.  Rows are collapsed by their whole set, so
-exact copies are one row, the *class*.
+the texts deals each document's distinct n-grams to their blocks, as the hash
+and the document's place (text block, row); a column block drops the columns
+with one document (they overlap with nothing) and sends the rest back to their
+text block, where rows are put together, rarest column first.  Rows are then
+collapsed by their whole set, so exact copies are one row, the *class*.
 
-Size-derived bounds then discard: sets with Jaccard of at least t overlap in
-t * max(size) n-grams or more, so a row with fewer shared columns has no
-partner, and two partners share one of the first ``size - ceil(t * size) + 1``
-columns in any fixed order.  Overlap counts are accumulated only for pairs that
-these bounds leave.
+Size-derived bounds discard pairs before and after they are counted: sets with
+Jaccard of at least t overlap in t * max(size) n-grams or more, so a row with
+fewer shared columns has no partner, and two partners share one of the first
+``size - ceil(t * size) + 1`` columns in any fixed order.
+
+The product is worked out in blocks of a *hub* and up to ``PART`` rows that
+share a bounded column with it: each column of the hub adds one to the overlap
+of every row that has it too, and pairs below the bound of their sizes go.
 
 For components not every pair of a large group is needed: rows sharing a column
-are first compared with a few hubs of that column (the rows with the fewest
+are first multiplied with a few hubs of that column (the rows with the fewest
 columns of their own).  Whatever is then in the component of most rows of the
 column is settled; every remaining pair of different components that shares a
-bounded column is compared, so no link between components is lost.
+bounded column is multiplied, so no link between components is lost.
 
 Defined results: null or empty texts have no n-grams and are alone; texts with
-fewer words than ``n`` have their whole sequence as one n-gram; a null
+fewer words than ``n`` have their whole sequence as one n-gram; very long texts
+are taken whole, a text larger than a block being a block of its own; a null
 ``doc_id`` gives a null component; rows that repeat a ``doc_id`` are judged one
-by one; ties go to the smaller id; an empty table gives an empty result.
+by one; ties go to the smaller id; an empty table gives an empty result; further
+columns are ignored, so their names may clash.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks as B
 from .components import components
 
-_NODE = "node binary"
+#: Rows that are multiplied with a hub at a time.
+PART = 256
+#: Kinds of payloads: incidence entries, and the rows of a text block.
+_ENTRIES, _ROWS = 0, 1
 
 
 def shingle_sets(texts: list[bytes], n: int):
@@ -53,87 +63,81 @@ def shingle_sets(texts: list[bytes], n: int):
     return row[first], name[first]
 
 
-def _incidence(n: int, buckets: int):
+def _route(buckets: int):
+    """Entries go by their column's hash, what belongs to a text block by that block."""
+
+    def of(kind: int, e: dict[str, np.ndarray]) -> np.ndarray:
+        return B.ranged(e["blk" if kind == _ROWS else "name"], buckets)
+
+    return of
+
+
+def _back(buckets: int):
+    return lambda kind, e: B.ranged(e["blk"], buckets)
+
+
+def _dealt(kind: int, bucket: np.ndarray, **columns: np.ndarray) -> list[tuple[int, bytes]]:
+    return [(b, B.pack(kind, **{k: v[x] for k, v in columns.items()})) for b, x in B.by_bucket(bucket)]
+
+
+def _incidence(n: int, buckets: int, fan: int):
+    step = B.first_step(buckets, fan)
+
     def run(batches):
-        for batch in B.blocks(batches):
+        task = np.uint64(TaskContext.get().partitionId())
+        for number, batch in enumerate(B.blocks(batches)):
             texts, ids = B.raw(batch), B.column(batch, "doc_id")
+            rows = len(texts)
+            blk = B.mix(np.array([(task << np.uint64(32)) + np.uint64(number + 1)]))
             row, name = shingle_sets(texts, n)
-            size = np.bincount(row, minlength=len(texts)).astype(np.int64)
-            sums = np.zeros((2, len(texts)), np.uint64)
+            size = np.bincount(row, minlength=rows).astype(np.int64)
+            sums = np.zeros((2, rows), np.uint64)
             np.add.at(sums[0], row, B.mix(name))
             np.add.at(sums[1], row, B.mix(name + np.uint64(12345)))
             f1, f2 = B.mix(sums[0] + size.astype(np.uint64)), B.mix(sums[1])
-            _, first = np.unique(np.stack([f1, f2]), axis=1, return_index=True) if len(texts) else (None, [])
             null = np.asarray(ids.is_null().to_numpy(zero_copy_only=False), bool)
-            own = np.zeros(len(texts), bool)
-            own[first] = True
-            # A set without a named document takes part in nothing.
-            if null.any():
-                named = np.flatnonzero(~null)
-                own[:] = False
-                if len(named):
-                    _, first = np.unique(np.stack([f1[named], f2[named]]), axis=1, return_index=True)
-                    own[named[first]] = True
+            # One named row of a set stands for all in its block; a set without a named document takes part in nothing.
+            named = np.flatnonzero(~null)
+            own = np.zeros(rows, bool)
+            if len(named):
+                own[named[np.unique(np.stack([f1[named], f2[named]]), axis=1, return_index=True)[1]]] = True
             keep = np.flatnonzero(own[row])
             name, row = name[keep], row[keep]
             order = np.argsort(name, kind="stable")
-            name, row = name[order], row[order]
-            bucket = (name % np.uint64(buckets)).astype(np.int64)
-            rows = [(b, B.pack(name=name[x], **B.with_table(row[x], f1=f1, f2=f2, n=size))) for b, x in B.by_bucket(bucket, buckets)]
-            stats = B.pack(id=ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), null=null.astype(np.int8), n=size, f1=f1, f2=f2)
-            out = B.packed([*rows, (int(f1[0] % np.uint64(buckets)), stats)])
-            yield pa.RecordBatch.from_arrays([*out.columns, pa.array([0] * len(rows) + [1], pa.int32())], names=["bucket", "payload", "kind"])
+            name, row = name[order], row[order].astype(np.uint16 if rows < 65536 else np.uint32)
+            out = _dealt(_ENTRIES, B.ranged(name, buckets) // step, name=name, row=row, blk=np.repeat(blk, len(name)))
+            stats = {"row": np.arange(rows, dtype=row.dtype), "id": ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), "null": null.astype(np.int8), "n": size, "f1": f1, "f2": f2}
+            out.append((int(B.ranged(blk, buckets)[0]) // step, B.pack(_ROWS, blk=np.repeat(blk, rows), **stats)))
+            yield B.packed(out)
 
     return run
 
 
-_KINDS = B.PACKED + ", kind int"
-
-
-#: A column bucket is worked on in this many parts of its names, so that only one part's working arrays are held.
-PARTS = 4
-
-
-def _shared_part(e: dict[str, np.ndarray], part: int) -> tuple[np.ndarray, ...]:
-    """(name, f1, f2, n, df) of the columns of one part of the names that two classes or more have."""
-    x = np.flatnonzero((B.mix(e["name"]) >> np.uint64(32)) % np.uint64(PARTS) == part)
-    name, local = e["name"][x], e["local"][x]
-    order = np.lexsort((e["t_f1"][local], name))
-    name, local = name[order], local[order]
-    f1, f2 = e["t_f1"][local], e["t_f2"][local]
-    at = B.groups(name, f1, f2)
-    name, f1, f2, local = name[at], f1[at], f2[at], local[at]
-    df = np.diff(np.r_[B.groups(name), len(name)])
-    df = np.repeat(df, df).astype(np.int32)
-    at = np.flatnonzero(df > 1)
-    return name[at], f1[at], f2[at], e["t_n"][local[at]].astype(np.int32), df[at]
-
-
-def _shared_columns(buckets: int):
-    """Columns of two classes or more, back to the rows; documents' sizes pass through."""
+def _shared_columns(buckets: int, fan: int):
+    """Columns of two rows or more, back to their text blocks; the text blocks' rows pass through."""
+    step = B.first_step(buckets, fan)
 
     def run(batches):
-        held = []
-        for batch in batches:
-            kind = B.column(batch, "kind").to_numpy()
-            held.append(batch.filter(pa.array(kind == 0)))
-            if (kind == 1).any():
-                yield batch.filter(pa.array(kind == 1))
-        e = B.gathered(held)
-        del held
+        entries, rows = B.of_kinds(batches)
+        for p in rows:
+            blk = B.unpack(p)["blk"][:1]
+            yield B.packed([(int(B.ranged(blk, buckets)[0]) // step, p)])
+        e = B.gathered(entries)
+        del entries, rows
         if not e:
             return
-        parts = [_shared_part(e, part) for part in range(PARTS)]
-        name, f1, f2, n, df = (np.concatenate(x) for x in zip(*parts))
-        del e, parts
-        bucket = (f1 % np.uint64(buckets)).astype(np.int64)
-        rows = []
-        for b, x in B.by_bucket(bucket, buckets):
-            x = x[np.lexsort((f2[x], f1[x]))]
-            rows.append((b, B.pack(f1=f1[x], f2=f2[x], n=n[x], df=df[x], col=name[x])))
-        if rows:
-            out = B.packed(rows)
-            yield pa.RecordBatch.from_arrays([*out.columns, pa.array([0] * len(rows), pa.int32())], names=["bucket", "payload", "kind"])
+        order = np.argsort(e["name"], kind="stable")
+        name = e["name"][order]
+        head = B.groups(name)
+        df = np.diff(np.r_[head, len(name)])
+        many = np.repeat(df > 1, df)
+        order, name, df = order[many], name[many], np.repeat(df, df)[many].astype(np.int32)
+        blk, row = e["blk"][order], e["row"][order]
+        del e
+        order = np.lexsort((row, blk))
+        out = _dealt(_ENTRIES, B.ranged(blk[order], buckets) // step, blk=blk[order], row=row[order], col=name[order], df=df[order])
+        if out:
+            yield B.packed(out)
 
     return run
 
@@ -143,53 +147,95 @@ def _node_names(f1: np.ndarray, f2: np.ndarray) -> pa.Array:
     return pa.array([x.tobytes() for x in held], pa.binary())
 
 
-def _documents(batches):
-    for batch in batches:
-        for p in B.column(batch, "payload").to_pylist():
-            e = B.unpack(p)
-            yield pa.RecordBatch.from_arrays([pa.array(e["id"], mask=e["null"].astype(bool)), pa.array(e["n"]), _node_names(e["f1"], e["f2"])], names=["doc_id", "n_shingles", "node"])
+_TABLE = "node binary, n long, doc_id long, bound int, cols array<long>"
 
 
-def _bounded_rows(percent: int):
-    """Rows whose shared columns can reach the bound: their columns, rarest first."""
+def _rows(percent: int):
+    """Every row (without ``cols``), and those whose shared columns can reach the bound: their columns, rarest first."""
 
     def run(batches):
-        e = B.gathered(batches)
+        entries, rows = B.of_kinds(batches)
+        s, e = B.gathered(rows), B.gathered(entries)
+        if not s:
+            return
+        order = np.lexsort((s["row"], s["blk"]))
+        s = {k: v[order] for k, v in s.items()}
+        k = len(s["n"])
+        none = pa.nulls(k, pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([_node_names(s["f1"], s["f2"]), pa.array(s["n"]), pa.array(s["id"], mask=s["null"].astype(bool)), pa.nulls(k, pa.int32()), none], names=["node", "n", "doc_id", "bound", "cols"])
         if not e:
             return
-        order = np.lexsort((e["col"], e["df"], e["f2"], e["f1"]))
-        del e["df"]
-        f1, f2, n, col = (e.pop(k)[order] for k in ("f1", "f2", "n", "col"))
-        # A column's count is the same wherever it is told, so doubles are neighbours.
-        at = B.groups(f1, f2, col)
-        f1, f2, n, col = f1[at], f2[at], n[at].astype(np.int64), col[at]
-        head = B.groups(f1, f2)
-        shared = np.diff(np.r_[head, len(f1)])
-        least = -(-percent * n[head] // 100)
-        at = np.flatnonzero(shared >= least)
-        for i in range(0, len(at), 500):
-            x = at[i : i + 500]
-            h = head[x]
+        order = np.lexsort((e["col"], e["df"], e["row"], e["blk"]))
+        blk, row, col = e["blk"][order], e["row"][order], e["col"][order]
+        del e
+        head = B.groups(blk, row)
+        shared = np.diff(np.r_[head, len(blk)])
+        # Rows of a text block are numbered without a gap.
+        first = np.searchsorted(s["blk"], blk[head])
+        at = first + row[head]
+        f1, f2, n = s["f1"][at], s["f2"][at], s["n"][at]
+        least = -(-percent * n // 100)
+        take = np.flatnonzero(shared >= least)
+        for i in range(0, len(take), 500):
+            x = take[i : i + 500]
             yield pa.RecordBatch.from_arrays(
                 [
-                    _node_names(f1[h], f2[h]),
-                    pa.array(n[h].astype(np.int64)),
+                    _node_names(f1[x], f2[x]),
+                    pa.array(n[x]),
+                    pa.nulls(len(x), pa.int64()),
                     pa.array((shared[x] - least[x] + 1).astype(np.int32)),
-                    pa.array([col[a : a + k].view(np.int64) for a, k in zip(h, shared[x])], pa.list_(pa.int64())),
+                    pa.array([col[a : a + m].view(np.int64) for a, m in zip(head[x], shared[x])], pa.list_(pa.int64())),
                 ],
-                names=["node", "n", "bound", "cols"],
+                names=["node", "n", "doc_id", "bound", "cols"],
             )
 
     return run
 
 
+def _product(percent: int):
+    """Overlaps of each hub (kind 0) with the rows behind it, column by column; pairs within the bound are links."""
+
+    def run(batches):
+        hub = None  # of the group that the last batch has ended in
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held = [hub] if hub is not None else []
+            table = pa.Table.from_batches([*held, batch]).combine_chunks().to_batches()[0]
+            kind, n = B.column(table, "kind").to_numpy(), B.column(table, "n").to_numpy()
+            node = B.column(table, "node").to_pylist()
+            cols = B.column(table, "cols")
+            ends = cols.offsets.to_numpy()
+            flat = cols.values.to_numpy(zero_copy_only=False).view(np.uint64)[ends[0] :]
+            of = np.repeat(np.arange(len(kind)), np.diff(ends))
+            group = np.cumsum(kind == 0) - 1  # a group begins with its hub
+            hubs = np.flatnonzero(kind == 0)
+            cell = B.join2(flat, group[of].astype(np.uint64))
+            mine = np.sort(cell[kind[of] == 0])
+            other = np.flatnonzero(kind[of] == 1)
+            if len(other):
+                at = np.minimum(np.searchsorted(mine, cell[other]), len(mine) - 1)
+                overlap = np.bincount(of[other][mine[at] == cell[other]], minlength=len(kind))
+                with_ = hubs[group]
+                x = np.flatnonzero((kind == 1) & (overlap * 100 >= percent * (n + n[with_] - overlap)))
+                if len(x):
+                    yield pa.RecordBatch.from_arrays([pa.array([node[i] for i in x], pa.binary()), pa.array([node[i] for i in with_[x]], pa.binary())], names=["a", "b"])
+            hub = table.slice(int(hubs[-1]), 1)
+
+    return run
+
+
 def _linked(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose accumulated overlap reaches the bound."""
+    """Of the pairs (a, hub b) those whose accumulated overlap reaches the bound."""
+    # Hubs of many rows are several blocks of the product.
+    large = pairs.groupBy("b").agg(F.count("*").alias("k")).filter(F.col("k") > PART)
+    parts = F.coalesce(F.ceil(F.col("k") / F.lit(PART)), F.lit(1))
+    placed = pairs.join(large, "b", "left").select("a", "b", F.pmod(F.xxhash64("a"), parts).cast("int").alias("part"))
     side = rows.select("node", "n", "cols")
-    a = side.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("cols").alias("ca"))
-    b = side.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("cols").alias("cb"))
-    both = pairs.join(a, "a").join(b, "b").withColumn("overlap", F.size(F.array_intersect("ca", "cb")))
-    return both.filter(F.col("overlap") * 100 >= percent * (F.col("na") + F.col("nb") - F.col("overlap"))).select("a", "b")
+    right = placed.select("b", "part").distinct().join(side, F.col("b") == F.col("node")).select("b", "part", F.lit(0).alias("kind"), "node", "n", "cols")
+    left = placed.join(side, F.col("a") == F.col("node")).select("b", "part", F.lit(1).alias("kind"), "node", "n", "cols")
+    work = right.union(left).repartition("b", "part").sortWithinPartitions("b", "part", "kind")
+    return work.select("kind", "node", "n", "cols").mapInArrow(B.tidied(_product(percent)), "a binary, b binary")
 
 
 def _possible(percent: int):
@@ -204,19 +250,24 @@ def _possible(percent: int):
     return F.least(F.col("n") - F.col("pos"), F.col("hn") - F.col("hpos")) >= least
 
 
-def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 75, hubs: int = 4) -> DataFrame:
+def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 75, hubs: int = 4, fan: int = B.FAN) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs``."""
     spark = docs.sparkSession
     B.bounded_batches(spark)
     buckets = B.bucket_count(docs)
-    base = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    dealt = base.mapInArrow(B.tidied(_incidence(n, buckets)), _KINDS)
-    dealt = B.written(dealt.repartitionById(buckets, F.col("bucket")).mapInArrow(B.tidied(_shared_columns(buckets)), _KINDS), "columns")
-    sizes = B.written(dealt.filter("kind = 1").select("payload").mapInArrow(B.tidied(_documents), f"doc_id long, n_shingles long, {_NODE}"), "sizes")
-    rows = B.written(B.exchange(dealt.filter("kind = 0").select("bucket", "payload"), buckets, _bounded_rows(percent), f"{_NODE}, n long, bound int, cols array<long>"), "rows")
-    links = class_links(rows, percent, hubs)
-    classes = sizes.filter("doc_id is not null and n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
+    base = B.steady(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")))
+    dealt = base.mapInArrow(B.tidied(_incidence(n, buckets, fan)), B.PACKED)
+    back = B.exchange(dealt, buckets, _shared_columns(buckets, fan), B.PACKED, _route(buckets), fan)
+    table = B.written(B.exchange(back, buckets, _rows(percent), _TABLE, _back(buckets), fan), "rows")
+    B.discard(base)
+    sizes = table.filter("cols is null").select("doc_id", F.col("n").alias("n_shingles"), "node")
+    # A class may have a row in several text blocks; they are equal.
+    rows = table.filter("cols is not null").groupBy("node").agg(F.first(F.struct("n", "bound", "cols")).alias("r")).select("node", "r.*")
+    rows = B.written(rows, "classes")
+    links, used = class_links(rows, percent, hubs)
     labels = components(links)
+    B.discard(rows, *used)
+    classes = sizes.filter("doc_id is not null and n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
     joined = classes.join(labels, "node", "left").select("node", "least", F.coalesce("label", "node").alias("label"))
     best = joined.filter("label is not null").join(joined.groupBy("label").agg(F.min("least").alias("component_id")), "label").select("node", "component_id")
     out = sizes.join(best, "node", "left")
@@ -225,13 +276,13 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 75, hubs: int
     )
 
 
-def class_links(rows: DataFrame, percent: int, hubs: int) -> DataFrame:
-    """Links (a, b) between classes with the components of all links; see the module's text."""
+def class_links(rows: DataFrame, percent: int, hubs: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Links (a, b) between classes with the components of all links, and the tables they are read from; see the module's text."""
     own = F.col("n") - F.size("cols")
     entries = rows.select("node", "n", own.alias("own"), F.posexplode(F.slice("cols", F.lit(1), F.col("bound"))).alias("at", "col"))
     # Columns that no other set has come first in a set's order.
     entries = B.written(entries.select("node", "n", "own", (F.col("own") + F.col("at")).alias("pos"), "col"), "entries")
-    found = None
+    found, used = None, []
     label = entries.select("node", "n", "own", "pos", "col", F.col("node").alias("label"))
     for turn in range(2):
         # Hubs of a column: of each hashed share of its rows the one with the fewest columns of its own.
@@ -239,17 +290,22 @@ def class_links(rows: DataFrame, percent: int, hubs: int) -> DataFrame:
         best = label.groupBy("col", share.alias("share")).agg(F.min(F.struct("own", "node", "n", "pos", "label")).alias("hub"))
         best = best.select("col", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hn"), F.col("hub.pos").alias("hpos"), F.col("hub.label").alias("hl"))
         near = label.join(best, "col").filter(F.col("node") != F.col("hub")).filter(F.col("label") != F.col("hl")).filter(_possible(percent))
-        pairs = near.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-        new = B.written(_linked(pairs, rows, percent), "links")
+        new = B.written(_linked(near.select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct(), rows, percent), "links")
         found = new if found is None else found.union(new)
         named = components(found, f"hubs{turn}")
-        label = entries.join(named, "node", "left").select("node", "n", "own", "pos", "col", F.coalesce("label", "node").alias("label"))
+        label_ = entries.join(named, "node", "left").select("node", "n", "own", "pos", "col", F.coalesce("label", "node").alias("label"))
         # Columns whose rows are all in one component are settled.
-        open_ = label.groupBy("col").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("col")
-        label = B.written(label.join(open_, "col", "left_semi"), "open")
+        open_ = label_.groupBy("col").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("col")
+        label_ = B.written(label_.join(open_, "col", "left_semi"), "open")
+        B.discard(named, label)
+        label = label_
+        used.append(new)
+    B.discard(entries)
     count = label.groupBy("col", "label").agg(F.count("*").alias("k"))
     main = count.groupBy("col").agg(F.max(F.struct("k", "label")).alias("main")).select("col", F.col("main.label").alias("main"))
     rest = label.join(main, "col").filter(F.col("label") != F.col("main")).select("col", F.col("node").alias("hub"), F.col("n").alias("hn"), F.col("pos").alias("hpos"), F.col("label").alias("hl"))
     near = label.join(rest, "col").filter(F.col("label") != F.col("hl")).filter(_possible(percent))
-    pairs = near.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-    return found.union(B.written(_linked(pairs, rows, percent), "links"))
+    near = near.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+    new = B.written(_linked(near, rows, percent), "links")
+    B.discard(label)
+    return found.union(new), [*used, new]
