@@ -1,20 +1,28 @@
 """Mixing sources to target weights by Efraimidis-Spirakis sampling.
 
 Every document gets the key ``-ln(u) / weight`` with u from a seeded hash of
-its id and text, so reruns agree.  Each source's share of the budget is set by
-its weight and capped at a number of epochs; the excess goes to the others by
-weight, to the level at which all shares fit.  Complete epochs come first;
-the fraction that is left takes documents in key order until it is filled.
-
-The prefix sum needs no task that holds a source: keys are cut into fine bins,
-bins are summed by source, and only the bin in which a source's budget ends is
-sorted.  Bins follow the key's distribution, so one holds few rows however
-large its source is.
+its id, text and source, so reruns agree.  Each source's share of the budget is
+set by its weight and capped at a number of epochs; the excess goes to the
+others by weight, to the level at which all shares fit.  Complete epochs come
+first; the fraction that is left takes documents in key order until it is
+filled.
+
+The prefix sum needs no task that holds a source: keys are cut into bins by
+their logarithm, bins are summed by source, and the bin in which a source's
+budget ends is cut again until it holds few rows, which alone are sorted.  A bin
+of an exponential law spans the same factor everywhere, so the fullest of the
+first cut holds less than a thousandth of the rows of any one weight, whatever
+the weights are.
+
+Rows with equal id, text and source would have one key.  Where there are any,
+the table is written and they are numbered (by task, with offsets by task, so
+that no task holds them all), and each number has a draw of its own.
 
 Defined results: a null text has size 0 and is never taken; a null source is a
-source of its own, ordered last; equal rows have one key and are taken
-together; an empty table
-gives an empty result; further columns are kept, their names may clash.
+source of its own, ordered last; a null id is drawn by text and source; equal
+rows are drawn one by one, and which of them are taken is open; very long texts
+are counted whole; an empty table gives an empty result; further columns are
+kept in ``row``, so their names may clash.
 """
 
 from __future__ import annotations
@@ -24,8 +32,10 @@ from pyspark.sql import functions as F
 
 from . import blocks as B
 
-#: Key bins of a source; the bin that is sorted holds 1 / BINS of its rows.
-BINS = 4096
+#: A key's logarithm in units of 2^-40; bins are 2^30 of them at first, and each further cut makes 1024 of one.
+UNIT, STEPS = 40, (30, 20, 10, 0)
+#: Rows of a source that one task sorts.
+EDGE = 20_000
 
 
 def text_size(text: Column) -> Column:
@@ -63,33 +73,72 @@ def targets(sizes: DataFrame, weights: list[float], share: float = 1.5, epochs:
     return held.select("source", "source_size", share_of.alias("target"))
 
 
-def keyed(docs: DataFrame, weight: Column | None = None, seed: int = 17) -> DataFrame:
-    """``row`` (the input's columns) with ``source``, ``size``, sampling key ``es_key`` and its ``bin``."""
+def drawn(docs: DataFrame, weight: Column | None = None, seed: int = 17) -> DataFrame:
+    """``row`` (the input's columns) with ``source``, ``size``, ``draw`` (64 bits) and ``es_weight``."""
     rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"))
     text = F.col("row.text").cast("string")
     weight = letter_weight(text) if weight is None else weight
-    drawn = F.xxhash64(F.lit(seed), F.col("row.doc_id").cast("long"), text, F.col("row.source").cast("string"))
-    u = (F.shiftrightunsigned(drawn, 11).cast("double") + 0.5) / float(1 << 53)
-    rows = rows.select("row", F.col("row.source").cast("string").alias("source"), text_size(text).alias("size"), (-F.log(u) / weight).alias("es_key"))
-    return rows.withColumn("bin", F.floor((1.0 - F.exp(-F.col("es_key"))) * BINS).cast("int"))
+    draw = F.xxhash64(F.lit(seed), F.col("row.doc_id").cast("long"), text, F.col("row.source").cast("string"))
+    return rows.select("row", F.col("row.source").cast("string").alias("source"), text_size(text).alias("size"), draw.alias("draw"), weight.alias("es_weight"))
+
+
+def keyed(rows: DataFrame) -> DataFrame:
+    """Rows of :func:`drawn` with the sampling key ``es_key`` and its place ``es_log``."""
+    u = (F.shiftrightunsigned("draw", 11).cast("double") + 0.5) / float(1 << 53)
+    key = F.greatest(-F.log(u) / F.col("es_weight"), F.lit(1e-300))
+    return rows.withColumn("es_key", key).withColumn("es_log", F.floor(F.log("es_key") * float(1 << UNIT)).cast("long")).drop("draw", "es_weight")
+
+
+def repeated(rows: DataFrame) -> DataFrame:
+    """The draws that several rows have."""
+    return rows.groupBy("draw").count().filter("count > 1").select("draw")
+
+
+def apart(rows: DataFrame) -> DataFrame:
+    """Written rows of :func:`drawn`, each with a draw of its own."""
+    again = B.written(repeated(rows), "repeated-draws")
+    rows = rows.withColumn("at", F.monotonically_increasing_id())  # the same in every read of a written table
+    few = rows.select("draw", "at", F.shiftright("at", 33).alias("task")).join(again, "draw", "left_semi")
+    by_task = few.groupBy("draw", "task").agg(F.count("*").alias("k"))
+    before = F.sum("k").over(Window.partitionBy("draw").orderBy("task").rowsBetween(Window.unboundedPreceding, -1))
+    by_task = by_task.select("draw", "task", F.coalesce(before, F.lit(0)).alias("before"))
+    own = F.row_number().over(Window.partitionBy("draw", "task").orderBy("at")) - 1
+    number = few.withColumn("own", own).join(by_task, ["draw", "task"]).select("at", (F.col("before") + F.col("own")).alias("number"))
+    rows = rows.join(number, "at", "left").drop("at")
+    return rows.withColumn("draw", F.when(F.col("number") > 0, F.xxhash64("draw", "number")).otherwise(F.col("draw"))).drop("number")
 
 
-def cuts(narrow: DataFrame, weights: list[float], share: float = 1.5, epochs: float = 2.0) -> DataFrame:
-    """One row a source: target, complete epochs, and the last key that the fraction takes."""
+def cuts(narrow: DataFrame, weights: list[float], share: float = 1.5, epochs: float = 2.0, edge: int = EDGE) -> DataFrame:
+    """One row a source: target, complete epochs, and up to where the fraction takes keys."""
     goal = B.written(targets(narrow, weights, share, epochs), "targets", coalesce=1)
     goal = goal.withColumn("full", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.greatest(F.col("source_size"), F.lit(1)))).otherwise(F.lit(0)).cast("long"))
     goal = goal.withColumn("rest", F.col("target") - F.col("full") * F.col("source_size"))
-    bins = narrow.groupBy("source", "bin").agg(F.sum("size").alias("binned"))
-    running = F.sum("binned").over(Window.partitionBy("source").orderBy("bin"))
-    bins = bins.withColumn("upto", running)
-    bins = _by_source(bins, goal.select("source", "rest"), "inner").filter((F.col("upto") >= F.col("rest")) & (F.col("upto") - F.col("binned") < F.col("rest")))
-    last = B.written(bins.groupBy("source").agg(F.min(F.struct("bin", (F.col("upto") - F.col("binned")).alias("before"), "rest")).alias("c")).select("source", F.col("c.bin").alias("bin"), F.col("c.before").alias("before"), F.col("c.rest").alias("rest")), "bins", coalesce=1)
-    edge = _by_source(narrow.withColumnRenamed("bin", "own_bin"), last, "inner").filter("own_bin = bin")
+    open_, last = goal.select("source", "rest", F.lit(0).cast("long").alias("before")), None
+    for step in STEPS:
+        # Rows of the last cut's bin only; bins of a source are at most some ten thousand.
+        inside = narrow if last is None else _by_source(narrow, last.select("source", "low", "high"), "inner").filter((F.col("es_log") >= F.col("low")) & (F.col("es_log") < F.col("high"))).drop("low", "high")
+        bins = inside.groupBy("source", F.shiftright("es_log", step).alias("bin")).agg(F.sum("size").alias("binned"), F.count("*").alias("rows"))
+        bins = _by_source(bins, open_, "inner")
+        bins = bins.withColumn("upto", F.col("before") + F.sum("binned").over(Window.partitionBy("source").orderBy("bin")))
+        hit = bins.filter((F.col("upto") >= F.col("rest")) & (F.col("upto") - F.col("binned") < F.col("rest")))
+        hit = hit.groupBy("source").agg(F.min(F.struct("bin", (F.col("upto") - F.col("binned")).alias("before"), "rest", "rows")).alias("c"))
+        low = F.shiftleft(F.col("c.bin"), step)
+        last_ = B.written(hit.select("source", low.alias("low"), (low + F.lit(1 << step)).alias("high"), F.col("c.before").alias("before"), F.col("c.rest").alias("rest"), F.col("c.rows").alias("rows")), "bins", coalesce=1)
+        B.discard(last)
+        last = last_
+        open_ = last.select("source", "rest", "before")
+        if (last.agg(F.max("rows")).first()[0] or 0) <= edge:
+            break
+    ends = _by_source(narrow, last, "inner").filter((F.col("es_log") >= F.col("low")) & (F.col("es_log") < F.col("high")))
     sums = Window.partitionBy("source").orderBy("es_key")
-    edge = edge.withColumn("upto", F.col("before") + F.sum("size").over(sums.rangeBetween(Window.unboundedPreceding, 0)))
-    edge = edge.filter(F.col("upto") - F.col("size") / 2.0 <= F.col("rest")).groupBy("source").agg(F.max("es_key").alias("last_key"))
-    held = _by_source(_by_source(goal, last.select("source", "bin"), "left"), edge, "left")
-    return B.written(held.select("source", "source_size", "target", "full", F.coalesce("bin", F.lit(-1)).alias("last_bin"), F.coalesce("last_key", F.lit(-1.0)).alias("last_key")), "cuts", coalesce=1)
+    ends = ends.withColumn("upto", F.col("before") + F.sum("size").over(sums.rangeBetween(Window.unboundedPreceding, 0)))
+    ends = ends.filter(F.col("upto") - F.col("size") / 2.0 <= F.col("rest")).groupBy("source").agg(F.max("es_key").alias("last_key"))
+    ends = B.written(ends, "ends", coalesce=1)
+    held = _by_source(_by_source(goal, last.select("source", "low"), "left"), ends, "left")
+    none = F.lit(-(1 << 62))
+    out = B.written(held.select("source", "source_size", "target", "full", F.coalesce("low", none).alias("low"), F.coalesce("last_key", F.lit(-1.0)).alias("last_key")), "cuts", coalesce=1)
+    B.discard(goal, last, ends)
+    return out
 
 
 def _by_source(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
@@ -103,13 +152,30 @@ def _by_source(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
 def mixed(rows: DataFrame, cut: DataFrame) -> DataFrame:
     """Rows of :func:`keyed` with ``source_size``, ``target``, ``copies`` and ``taken``."""
     out = _by_source(rows, cut, "inner")
-    part = (F.col("bin") < F.col("last_bin")) | ((F.col("bin") == F.col("last_bin")) & (F.col("es_key") <= F.col("last_key")))
+    part = (F.col("es_log") < F.col("low")) | (F.col("es_key") <= F.col("last_key"))
     out = out.withColumn("copies", F.when(F.col("size") > 0, F.col("full") + part.cast("long")).otherwise(F.lit(0)).cast("long"))
-    return out.withColumn("taken", F.col("copies") * F.col("size"))
+    return out.withColumn("taken", F.col("copies") * F.col("size")).drop("full", "low", "last_key", "es_key", "es_log")
 
 
-def mix(docs: DataFrame, weights: list[float], share: float = 1.5, epochs: float = 2.0, weight: Column | None = None, seed: int = 17) -> DataFrame:
+def mix(docs: DataFrame, weights: list[float], share: float = 1.5, epochs: float = 2.0, weight: Column | None = None, seed: int = 17, edge: int = EDGE) -> DataFrame:
     """Every input row as ``row`` with ``source``, ``size``, ``source_size``, ``target``, ``copies`` and ``taken`` words."""
-    rows = keyed(docs, weight, seed)
-    narrow = B.written(rows.select("source", "size", "es_key", "bin"), "keys")
-    return mixed(rows, cuts(narrow, weights, share, epochs)).drop("es_key", "bin", "full", "last_bin", "last_key")
+    rows = drawn(docs, weight, seed)
+    narrow = B.written(rows.drop("row"), "draws")
+    if not repeated(narrow).isEmpty():
+        B.discard(narrow)
+        whole = B.written(rows, "drawn")
+        rows = B.written(apart(whole), "drawn-apart")
+        B.discard(whole)
+        narrow = rows.drop("row")
+    cut = cuts(keyed(narrow), weights, share, epochs, edge)
+    B.discard(narrow)
+    return mixed(keyed(rows), cut)
+
+
+def mix_sizes(docs: DataFrame, weights: list[float], share: float = 1.5, epochs: float = 2.0, weight: Column | None = None, seed: int = 17, edge: int = EDGE) -> DataFrame:
+    """:func:`mix` with ``doc_id`` alone in the place of ``row``; texts are read once."""
+    rows = B.written(drawn(docs, weight, seed).withColumn("row", F.col("row.doc_id")).withColumnRenamed("row", "doc_id"), "draws")
+    if not repeated(rows).isEmpty():
+        whole, rows = rows, B.written(apart(rows), "drawn-apart")
+        B.discard(whole)
+    return mixed(keyed(rows), cuts(keyed(rows.drop("doc_id")), weights, share, epochs, edge))

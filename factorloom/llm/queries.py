@@ -30,9 +30,8 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = mixing.keyed(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
-    narrow = B.written(rows.select(F.col("row.doc_id").alias("doc_id"), "source", "size", "es_key", "bin"), "mix-keys")
-    return mixing.mixed(narrow, mixing.cuts(narrow, [5.0, 2.0, 1.0])).select("doc_id", "size", "source_size", "target", "taken", "source")
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mixing.mix_sizes(docs, [5.0, 2.0, 1.0]).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -180,6 +180,26 @@ def test_sampling_follows_weights(spark):
     assert out.filter("copies = 1").count() == 1200 and even > 800
 
 
+def test_the_cut_bin_is_refined_at_any_weight(spark):
+    """Sources of low weight, budgets that end anywhere: the same rows whether one bin or many cuts settle the end."""
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("a b "), F.col("id")).alias("text"), F.element_at(F.array(F.lit("x"), F.lit("y")), (F.col("id") % 2 + 1).cast("int")).alias("source"))
+    weight = F.when(F.col("row.source") == "x", 0.01).otherwise(1.0)
+    taken = [sorted(r.row.doc_id for r in mixing.mix(docs, [1.0, 3.0], share=0.4, weight=weight, edge=e).filter("taken > 0").collect()) for e in (1, 20, 10**6)]
+    assert taken[0] == taken[1] == taken[2] and abs(len(taken[0]) - 1200) <= 2
+    rows = mixing.keyed(mixing.drawn(docs, weight))
+    fullest = rows.groupBy("source", F.shiftright("es_log", 30).alias("bin")).count().agg(F.max("count")).first()[0]
+    assert fullest < 20  # of 1500 in a source
+
+
+def test_equal_rows_are_drawn_one_by_one(spark):
+    docs = spark.range(1000).select(F.lit(1).cast("long").alias("doc_id"), F.lit("a b c d e f").alias("text"), F.lit("s").alias("source")).repartition(7)
+    for f in (mixing.mix, mixing.mix_sizes):
+        out = f(docs, [1.0], share=1.0 / 3.0)
+        assert out.count() == 1000 and out.agg(F.sum("taken")).first()[0] == 1998
+    out = mixing.mix(docs, [1.0], share=1.5)
+    assert abs(out.agg(F.sum("taken")).first()[0] - 9000) <= 6 and out.agg(F.max("copies")).first()[0] == 2
+
+
 def test_language_model_sums_to_one_and_scores(docs, empty):
     out = F.crc32(F.col("row.doc_id").cast("string")) % 5 == 1
     got = kneser_ney.lm_scores(docs, out).collect()
