@@ -6,11 +6,15 @@ sequence each; remainders are dealt to shards of a measured size and packed
 there, longest first, each into the open window with the least room that still
 holds it.  A segment tree over remaining capacities finds that window in
 log2(window) steps.  Shards of ``SHARD`` remainders keep padding as low as one
-global run would, while no task's work grows with the corpus.
+global run would, while no task's work grows with the corpus.  Remainders are
+dealt to shards by their place in the written table, so equal ones spread too;
+full windows aren't dealt at all.  Remainders' sequences are numbered from 0,
+full windows' from 2^62.
 
 Defined results: a null or empty text has the end token alone; rows that repeat
 a ``doc_id`` (or have none) are packed row by row; ties are broken by id, then
-row; an empty table gives an empty result; further columns are ignored.
+row; very long texts are tokenised whole and cut; an empty table gives an empty
+result; further columns are ignored, so their names may clash.
 """
 
 from __future__ import annotations
@@ -27,6 +31,8 @@ from . import blocks as B
 
 #: Remainders that one packing task takes.
 SHARD = 50_000
+#: The first number of a full window's sequence.
+FULL = 1 << 62
 #: Words whose token ids a worker remembers.
 REMEMBERED = 300_000
 
@@ -197,7 +203,7 @@ def _packer(size: int, shards: int):
     return run
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, end_token: int = 1, size: int = 2048) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, end_token: int = 1, size: int = 2048, shard: int = SHARD) -> DataFrame:
     """One row for each piece: its place in its document and in its sequence.
 
     ``tokenizer`` is the path of a ``tokenizers`` file that every worker can open.
@@ -206,7 +212,10 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_token: int = 1, size: in
     B.bounded_batches(spark)
     pieces = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(B.tidied(_pieces(tokenizer, end_token, size)), _PIECES)
     pieces = B.written(pieces, "pieces")
-    shards = int(pieces.filter(F.col("length") < size).count() // SHARD) + 1
-    # A full window fills a sequence by itself; it is dealt with the rest only to number it.
-    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(shards)).cast("int"))
-    return dealt.repartitionById(shards, F.col("shard")).mapInArrow(B.tidied(_packer(size, shards)), _PIECES + ", sequence_id long, offset long")
+    shards = int(pieces.filter(F.col("length") < size).count() // shard) + 1
+    # The same in every read of a written table.
+    placed = pieces.withColumn("at", F.monotonically_increasing_id())
+    full = placed.filter(F.col("length") == size).withColumn("sequence_id", F.lit(FULL) + F.col("at")).withColumn("offset", F.lit(0).cast("long")).drop("at")
+    dealt = placed.filter(F.col("length") < size).withColumn("shard", F.pmod(F.xxhash64("at"), F.lit(shards)).cast("int")).drop("at")
+    packed = dealt.repartitionById(shards, F.col("shard")).mapInArrow(B.tidied(_packer(size, shards)), _PIECES + ", sequence_id long, offset long")
+    return packed.unionByName(full)

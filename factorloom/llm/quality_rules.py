@@ -8,20 +8,22 @@ chance of voting good, both estimated; the posterior of each pattern follows.
 A document is kept if its posterior reaches the threshold, so one odd sign does
 not reject a text that all other rules speak for.
 
-Repeated windows are found inside a text without exploding it: five shifted
-copies of the word array are zipped and hashed in one pass; only texts whose
-hashes are not all distinct sort them with their positions, and neighbours in
-that order mark repeats.
+Repeated windows are found inside a text without exploding it: words are hashed
+once, five shifted copies of the hashes are zipped and hashed again; only texts
+whose hashes are not all distinct sort them with their positions, and neighbours
+in that order mark repeats.
 
 Defined results: a null or empty text has zero counts and fails the base rule
 (fewer than ten words); rows are judged one by one, so repeated rows and null
-ids don't matter; an empty table gives an empty result; further columns are
-ignored, so their names may clash.
+ids don't matter; very long texts are looked at whole; a posterior equal to the
+threshold keeps a text; an empty table gives an empty result; further columns
+are ignored, so their names may clash.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,10 +35,15 @@ _SIGNS = "#*$%&|<>"
 STEPS = 25
 
 
-def _zip_windows(words: Column, size: int) -> Column:
-    n = F.array_size(words) - (size - 1)
-    parts = [F.slice(words, F.lit(i + 1), F.greatest(n, F.lit(0))) for i in range(size)]
-    return F.arrays_zip(*parts)
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)`` with the value worked out once, however often it is used."""
+    return F.transform(F.array(value), then)[0]
+
+
+def _windows(hashes: Column, size: int) -> Column:
+    """Hashes of the windows of ``size`` words, from the words' hashes."""
+    n = F.greatest(F.array_size(hashes) - (size - 1), F.lit(0))
+    return F.transform(F.arrays_zip(*[F.slice(hashes, F.lit(i + 1), n).alias(f"w{i}") for i in range(size)]), lambda w: F.xxhash64(w))
 
 
 def measured(docs: DataFrame) -> DataFrame:
@@ -52,7 +59,7 @@ def measured(docs: DataFrame) -> DataFrame:
             "word_chars": (F.length("text") - spaces_of("text")).cast("long"),
             "n_symbols": signs.cast("long"),
             "n_upper": (F.length("text") - F.length(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))).cast("long"),
-            "n_bangs": (F.length("text") - F.length(F.translate("text", "!", ""))).cast("long"),
+            "n_bangs": (F.length("text") - F.length(F.replace("text", F.lit("!"), F.lit("")))).cast("long"),
             "n_marks": F.regexp_count("text", F.lit(r"[^\p{L}\p{M}\p{N}\s]")).cast("long"),
             "n_runs": F.regexp_count("text", F.lit(r"([^\p{L}\p{N}\s])\1+|(?<!\S)[#*$%&|<>](?!\S)")).cast("long"),
             "n_lines": F.array_size("lines").cast("long"),
@@ -60,8 +67,9 @@ def measured(docs: DataFrame) -> DataFrame:
         }
     )
     rows = rows.withColumn("n_dup_lines", (F.array_size("lines") - F.array_size(F.array_distinct("lines"))).cast("long"))
-    rows = rows.withColumn("windows", F.transform(_zip_windows(F.col("words"), 5), lambda w: F.xxhash64(w)))
-    return rows.withColumn("n_repeat_words", _covered(F.col("windows"), 5)).drop("words", "lines", "windows", "text")
+    hashes = F.transform("words", lambda w: F.xxhash64(w))
+    covered = _let(hashes, lambda h: _let(_windows(h, 5), lambda w: _covered(w, 5)))
+    return rows.withColumn("n_repeat_words", covered).drop("words", "lines", "text")
 
 
 def spaces_of(name: str) -> Column:
@@ -69,13 +77,16 @@ def spaces_of(name: str) -> Column:
 
 
 def _covered(windows: Column, size: int) -> Column:
+    """Words in windows whose hash occurs twice or more."""
+
+    def places(placed: Column) -> Column:
+        # A window repeats if its hash is that of its neighbour in the sorted order.
+        pairs = F.filter(F.arrays_zip(placed.alias("a"), F.slice(placed, F.lit(2), F.array_size(placed)).alias("b")), lambda z: z["a"]["h"] == z["b"]["h"])
+        return F.array_sort(F.array_distinct(F.flatten(F.transform(pairs, lambda z: F.array(z["a"]["i"], z["b"]["i"])))))
+
     placed = F.array_sort(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    n = F.array_size(placed)
-    three = F.arrays_zip(placed.alias("a"), F.slice(placed, F.lit(2), n).alias("b"))
-    # A window repeats if its hash is that of its neighbour in the sorted order.
-    pairs = F.filter(three, lambda z: z["a"]["h"] == z["b"]["h"])
-    at = F.array_sort(F.array_distinct(F.flatten(F.transform(pairs, lambda z: F.array(z["a"]["i"], z["b"]["i"])))))
-    gaps = F.aggregate(at, F.struct(F.lit(0).alias("sum"), F.lit(-1_000_000).alias("last")), lambda s, x: F.struct((s["sum"] + F.least(F.lit(size), x - s["last"])).alias("sum"), x.alias("last")), lambda s: s["sum"])
+    first = F.struct(F.lit(0).alias("sum"), F.lit(-1_000_000).alias("last"))
+    gaps = F.aggregate(_let(placed, places), first, lambda s, x: F.struct((s["sum"] + F.least(F.lit(size), x - s["last"])).alias("sum"), x.alias("last")), lambda s: s["sum"])
     return F.when(F.array_size(F.array_distinct(windows)) < F.array_size(windows), gaps).otherwise(F.lit(0)).cast("long")
 
 
@@ -100,12 +111,13 @@ def votes() -> dict[str, Column]:
     }
 
 
-def posterior(patterns: DataFrame, rules: list[str], steps: int = STEPS, good: float = 0.85, start: tuple[float, float] = (0.98, 0.7)) -> Column:
+def posterior(patterns: DataFrame, rules: list[str], steps: int = STEPS, good: float = 0.85, start: tuple[float, float] = (0.98, 0.7), weight: float = 10.0) -> Column:
     """EM over the table of vote patterns (rules' columns and ``docs``): the posterior as an expression of the votes.
 
     ``start`` holds the first chances that a vote is good in good and in bad
     documents: a bad vote says more than a good one, as bad documents pass most
-    rules.  Both get pseudo-counts, so a rule that never votes keeps them.
+    rules.  Both get ``weight`` pseudo-votes, so a rule that never votes keeps
+    them and no chance reaches 0 or 1; nothing else bounds the estimates.
     """
     prior = good
     chance = dict.fromkeys(rules, start)
@@ -128,12 +140,11 @@ def posterior(patterns: DataFrame, rules: list[str], steps: int = STEPS, good: f
         if not got["n"]:
             break
         was = (prior, dict(chance))
-        prior = min(0.999, max(0.001, (got["g"] + 2 * good) / (got["n"] + 2)))
+        prior = (got["g"] + 2 * good) / (got["n"] + 2)
         for r in rules:
-            a = (got[f"{r}_g_up"] + 10 * start[0]) / (got[f"{r}_g_any"] + 10)
-            b = (got[f"{r}_b_up"] + 10 * start[1]) / (got[f"{r}_b_any"] + 10)
-            # Bounds keep a vote's meaning: a bad vote never speaks for a document, and no vote decides alone.
-            chance[r] = (min(0.99, max(0.9, a)), min(0.85, max(0.3, b)))
+            a = (got[f"{r}_g_up"] + weight * start[0]) / (got[f"{r}_g_any"] + weight)
+            b = (got[f"{r}_b_up"] + weight * start[1]) / (got[f"{r}_b_any"] + weight)
+            chance[r] = (a, b)
         if abs(prior - was[0]) < 1e-5 and all(abs(chance[r][0] - was[1][r][0]) < 1e-4 and abs(chance[r][1] - was[1][r][1]) < 1e-4 for r in rules):
             break
     return expression()

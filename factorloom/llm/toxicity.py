@@ -10,12 +10,15 @@ The sum of weights and its density per word go through a logistic curve, fitted
 on the same sample.
 
 The sample takes the rows with the least hash of their id, up to ``fit_rows``:
-a parameter.  Every text is scored whole.
+a parameter and the only bound; lexicon and exceptions hold all that it bears
+out.  Every text is scored whole, however long.
 
 Defined results: a null or empty text has no match and the score of that; a null
 id is never in the sample and not held out; labels for one id that disagree
-count as toxic; without toxic labels every score is 0; rows are judged one by
-one; an empty table gives an empty result; further columns stay in ``row``.
+count as toxic; of rows that repeat an id the least text is learned from;
+without toxic labels every score is 0; rows are judged one by one, a score of
+exactly 0.5 as toxic; an empty table gives an empty result; further columns stay
+in ``row``, so their names may clash.
 """
 
 from __future__ import annotations
@@ -31,9 +34,9 @@ from pyspark.sql import functions as F
 from . import blocks as B
 
 FIT_ROWS = 20_000
-#: Lexicon entries at most, least likelihood ratio, least share of toxic texts among an entry's texts,
+#: Least likelihood ratio of an entry, least share of toxic texts among its texts,
 #: share of a beginning's toxic texts from which one word stands for it.
-ENTRIES, RATIO, PRECISION, ONE_WORD = 5000, 25.0, 0.75, 0.8
+RATIO, PRECISION, ONE_WORD = 25.0, 0.75, 0.8
 #: Cyrillic and Greek letters that look like Latin ones, and what digits and signs stand for inside words.
 _LOOKALIKES = dict(zip("асеорхуіјѕԁһӏԛԝвкмнтαεικνορτυχѵɑɡıοⅼ", "aceopxyijsdhlqwbkmhtaeiknoptuxvagiol"))
 _STANDS_FOR = dict(zip("013457@$", "oieastas"))
@@ -86,8 +89,8 @@ def _feature_rows(batches):
             yield pa.RecordBatch.from_arrays([pa.array(f, pa.string()), pa.array([toxic] * len(f), pa.int32())], names=["feature", "toxic"])
 
 
-def lexicon(sample: DataFrame, entries: int = ENTRIES) -> dict[str, float]:
-    """Entries and weights from a table (text, toxic)."""
+def lexicon(sample: DataFrame) -> dict[str, float]:
+    """Entries and weights from a bounded table (text, toxic): as many as the sample bears out."""
     totals = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n1, n0 = totals.get(1, 0), totals.get(0, 0)
     if not n1 or not n0:
@@ -99,7 +102,7 @@ def lexicon(sample: DataFrame, entries: int = ENTRIES) -> dict[str, float]:
     ratio = 2.0 * (log(a, (a + b) * share) + log(b, (a + b) * (1 - share)))
     odds = F.log((a + 0.5) / (n1 + 1.0)) - F.log((b + 0.5) / (n0 + 1.0))
     top = counted.filter((a / (a + b) >= PRECISION) & (ratio >= RATIO)).select("feature", odds.alias("weight"), ratio.alias("ratio"), "a")
-    rows = top.orderBy(F.desc("ratio"), "feature").limit(entries).collect()
+    rows = top.orderBy(F.desc("ratio"), "feature").collect()
     # A beginning that is nearly always the same word says no more than that word.
     most: dict[str, float] = {}
     for r in rows:
@@ -194,7 +197,7 @@ def fit(sample: DataFrame) -> tuple[dict[str, float], set[str], list[float]]:
     if not entries:
         return {}, set(), [-30.0, 0.0, 0.0]
     phrases = sample.mapInArrow(B.tidied(_phrases(entries)), "phrase string, toxic int").groupBy("phrase").agg(F.sum("toxic").alias("a"), F.count("*").alias("n"))
-    exceptions = {r["phrase"] for r in phrases.filter("a = 0 and n >= 3").orderBy(F.desc("n"), "phrase").limit(ENTRIES).collect()}
+    exceptions = {r["phrase"] for r in phrases.filter("a = 0 and n >= 3").select("phrase").collect()}
     got = measures(sample.select(F.struct("toxic").alias("row"), "text"), entries, exceptions).select("row.toxic", "total", "density").collect()
     x = _inputs([r["total"] for r in got], [r["density"] for r in got])
     return entries, exceptions, [float(v) for v in logistic(x, np.array([r["toxic"] for r in got], float))]
@@ -210,9 +213,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, held_out: Column, fit_rows: int
     known = labels.filter("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("label_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     known = known.select(F.struct(F.col("label_id").alias("doc_id")).alias("row"), "label_id", "toxic").filter(~out).drop("row")
     known = known.orderBy(F.xxhash64("label_id"), "label_id").limit(fit_rows)
-    # The list has at most fit_rows ids.
-    sample = B.written(rows.join(F.broadcast(known), F.col("row.doc_id").cast("long") == F.col("label_id")).select("text", "toxic"), "toxic-sample")
+    # The list has at most fit_rows ids, and so has the sample: of rows that repeat an id the least text counts.
+    sample = rows.join(F.broadcast(known), F.col("row.doc_id").cast("long") == F.col("label_id")).groupBy("label_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
+    sample = B.written(sample.select("text", "toxic"), "toxic-sample")
     entries, exceptions, w = fit(sample)
+    B.discard(sample)
     logit = F.lit(w[0]) + w[1] * F.log1p("total") + w[2] * F.log1p("density")
     scored = measures(rows, entries, exceptions).withColumn("score", 1.0 / (1.0 + F.exp(-logit)))
     return scored.select("row", out.alias("held_out"), "n_matches", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

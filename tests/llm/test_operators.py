@@ -143,6 +143,42 @@ def test_quality_rules(docs, empty):
     assert quality_rules.quality_rules(empty).count() == 0
 
 
+def test_posterior_equals_plain_em(spark, docs):
+    """The EM over vote patterns in plain Python, over the votes that the operator returns."""
+    import math
+
+    big = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    rules = list(quality_rules.votes())
+    for table in (docs, big):
+        got = quality_rules.quality_rules(table).collect()
+        votes = Counter(tuple(r[c] for c in rules) for r in got)
+        good, start = 0.85, (0.98, 0.7)
+        prior, chance = good, [start] * len(rules)
+
+        def posterior(v):
+            odds = math.log(prior / (1 - prior))
+            for x, (g, b) in zip(v, chance):
+                odds += math.log(g / b) if x == 1 else math.log((1 - g) / (1 - b)) if x == -1 else 0
+            return 1 / (1 + math.exp(-odds))
+
+        for _ in range(quality_rules.STEPS):
+            p = {v: posterior(v) for v in votes}
+            was = (prior, chance)
+            prior = (sum(votes[v] * p[v] for v in votes) + 2 * good) / (sum(votes.values()) + 2)
+            chance = []
+            for i in range(len(rules)):
+                side = []
+                for q, s in ((p, start[0]), ({v: 1 - x for v, x in p.items()}, start[1])):
+                    up, any_ = (sum(votes[v] * q[v] for v in votes if v[i] in of) for of in ((1,), (1, -1)))
+                    side.append((up + 10 * s) / (any_ + 10))
+                chance.append(tuple(side))
+            if abs(prior - was[0]) < 1e-5 and all(abs(x - y) < 1e-4 for c, d in zip(chance, was[1]) for x, y in zip(c, d)):
+                break
+        for r in got:
+            want = posterior(tuple(r[c] for c in rules))
+            assert abs(r.posterior - want) < 1e-9 and (abs(want - 0.5) < 1e-6 or r.kept == (not r.base_failed and want >= 0.5))
+
+
 def test_mixing(docs, empty):
     got = mixing.mix(docs, [5.0, 2.0, 1.0]).select("row.doc_id", "source", "size", "source_size", "target", "copies", "taken").collect()
     assert len(got) == len(rows())
@@ -293,6 +329,81 @@ def test_toxicity(spark, empty):
     assert toxicity.toxicity(docs, labels.filter("toxic = 0"), F.lit(False)).filter("score > 0.01").count() == 0
 
 
+def test_toxicity_equals_a_plain_version(spark):
+    """Lexicon, exceptions, sums and scores worked out by hand; odd rows and columns on the way."""
+    import math
+
+    rnd = random.Random(9)
+    vocab = [f"word{i}" for i in range(40)]
+    table = []
+    for i in range(300):
+        w = [rnd.choice(vocab) for _ in range(rnd.randint(3, 40))]
+        if i % 3 == 0:
+            w[rnd.randrange(len(w))] = rnd.choice(["blargh", "Bl4rgh!", "zonkers", "zonked", "zonking"])
+        elif i % 30 == 1:
+            w += ["blargh", "pie"]
+        table.append((i, " ".join(w)))
+    # A repeated id (its least text is learned from), a very long text, nulls.
+    table += [(0, "zzz later text"), (900, " ".join(rnd.choice(vocab) for _ in range(60000)) + " blargh"), (901, ""), (902, None), (None, "zonkers")]
+    docs = spark.createDataFrame([(i, t, i, 1, 0.5) for i, t in table], "doc_id long, text string, label_id long, toxic int, score double").repartition(3)
+    label = {i: int(i % 3 == 0) for i in range(300)}
+    labels = spark.createDataFrame([*label.items(), (7, 0), (8888, 1)], "doc_id long, toxic int")
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 0
+    least = {}
+    for i, t in table:
+        if i in label and not held(i):
+            least[i] = min(least.get(i, t), t)
+    n1 = sum(label[i] for i in least)
+    n0 = len(least) - n1
+    a, b = Counter(), Counter()
+    for i, t in least.items():
+        (a if label[i] else b).update(toxicity.features(toxicity.fold(t)))
+    top = {}
+    for f in {*a, *b}:
+        x, y = a[f], b[f]
+        share = n1 / (n1 + n0)
+        ratio = 2 * sum(c * math.log(c / ((x + y) * s)) for c, s in ((x, share), (y, 1 - share)) if c)
+        if x / (x + y) >= toxicity.PRECISION and ratio >= toxicity.RATIO:
+            top[f] = math.log((x + 0.5) / (n1 + 1)) - math.log((y + 0.5) / (n0 + 1))
+    words_ = [f for f in top if f.endswith(" ")]
+    top = {f: w for f, w in top.items() if f.endswith(" ") or max([a[x] for x in words_ if x.startswith(f)], default=0) < toxicity.ONE_WORD * a[f]}
+    lexicon = {f: w for f, w in top.items() if not any(f != g and not g.endswith(" ") and f.startswith(g) for g in top)}
+    assert any("zonk" in f for f in lexicon) and any("blargh" in f for f in lexicon)
+    sample = spark.createDataFrame([(t, label[i]) for i, t in least.items()], "text string, toxic int")
+    entries, exceptions, coefficients = toxicity.fit(sample)
+    assert set(entries) == set(lexicon) and all(abs(entries[f] - lexicon[f]) < 1e-9 for f in lexicon)
+
+    def matches(text):
+        t = toxicity.fold(text).split()
+        for p, w in enumerate(t):
+            for f, weight in lexicon.items():
+                if f == f" {w} " or (not f.endswith(" ") and f" {w}".startswith(f)):
+                    yield weight, " ".join(t[max(0, p - 1) : p + 1]), " ".join(t[p : p + 2])
+
+    phrase = {}
+    for i, t in least.items():
+        for p in {x for _, *ps in matches(t) for x in ps if " " in x}:
+            phrase.setdefault(p, []).append(label[i])
+    assert exceptions == {p for p, ls in phrase.items() if not any(ls) and len(ls) >= 3}
+
+    def measure(text):
+        kept = [w for w, p, q in matches(text) if p not in exceptions and q not in exceptions]
+        return sum(kept), 100 * sum(kept) / max(1, len(toxicity.fold(text).split())), len(kept)
+
+    # The coefficients are where the penalised likelihood is flat.
+    x = np.array([[1, math.log1p(m[0]), math.log1p(m[1])] for m in map(measure, least.values())])
+    y = np.array([label[i] for i in least])
+    w = np.array(coefficients)
+    assert np.abs(x.T @ (y - 1 / (1 + np.exp(-x @ w))) - 1e-2 * w).max() < 1e-6
+    got = toxicity.toxicity(docs, labels, F.crc32(F.col("row.doc_id").cast("string")) % 5 == 0).collect()
+    assert len(got) == len(table)
+    for r in got:
+        total, density, n = measure(r.row.text or "")
+        score = 1 / (1 + math.exp(-(w[0] + w[1] * math.log1p(total) + w[2] * math.log1p(density))))
+        assert r.n_matches == n and abs(r.score - score) < 1e-9 and r.predicted == int(score >= 0.5)
+        assert r.held_out == (r.row.doc_id is not None and held(r.row.doc_id))
+
+
 def test_folding():
     assert toxicity.fold("1D1OT") == " idiot " and toxicity.fold("ｍoron") == " moron " and toxicity.fold("іdiot") == " idiot "
     assert toxicity.fold("") == "  " and toxicity.fold("a, b") == " a b "
@@ -357,6 +468,16 @@ def test_packing(docs, empty):
     assert packing.pack_documents(empty, BPE).count() == 0
 
 
+def test_equal_remainders_spread_over_all_shards(spark):
+    docs = spark.range(500).select(F.lit(None).cast("long").alias("doc_id"), F.lit("").alias("text"))
+    docs = docs.unionByName(spark.createDataFrame([(i, "long " * 700) for i in range(20)], "doc_id long, text string"))
+    got = packing.pack_documents(docs, BPE, size=64, shard=50).collect()
+    small = [r.sequence_id for r in got if r.length < 64]
+    assert len(small) == 520 and len({i % 11 for i in small}) == 11 and max(Counter(i % 11 for i in small).values()) < 100
+    whole = [r for r in got if r.length == 64]
+    assert len(whole) > 100 and len({r.sequence_id for r in whole}) == len(whole) and all(r.offset == 0 and r.sequence_id >= packing.FULL for r in whole)
+
+
 def test_best_fit_takes_the_tightest_window():
     rnd = random.Random(1)
     lengths = sorted((rnd.randint(1, 100) for _ in range(500)), reverse=True)
