@@ -30,10 +30,16 @@ def dots(low: str = "#d3d3d3", high: str = "#0000ff", dot_scale: float = 6) -> d
     return {"kind": "dots", "x": "grp", "y": "program", "size": "pct_nonzero", "colour": "sum_weight", "colours": [low, high], "sizes": [0, dot_scale]}
 
 
-def heatmap(rows: int, largest: float, colours: tuple[str, ...] = ("#1e90ff", "#ffffff", "#ff0000"), small_above: int = 20, small: int = 8, star_size: int = 14) -> dict:
-    return {"kind": "tiles", "colours": ramp(list(colours)), "breaks": breaks(largest), "font": small if rows > small_above else 10, "stars": star_size}
+def heatmap(rows: int, largest: float, colours: tuple[str, ...] = ("#1e90ff", "#ffffff", "#ff0000"), small_above: int = 20, small: int = 8, star_size: int = 14, font: int = 10) -> dict:
+    return {"kind": "tiles", "colours": ramp(list(colours)), "breaks": breaks(largest), "font": small if rows > small_above else font, "stars": star_size}
 
 
-def scatter(scale: str = "viridis", point_size: float = 0.8, alpha: float = 1.0) -> dict:
+def scatter(scale: str = "viridis", point_size: float = 0.8, alpha: float = 1.0, labels: tuple[str, str] = ("x", "y"), colour: str = "program_usage", legend: str = "Weights") -> dict:
     known = ("viridis", "plasma", "inferno", "magma")
-    return {"kind": "points", "x": "x", "y": "y", "colour": "program_usage", "scale": scale if scale in known else "viridis", "size": point_size, "alpha": alpha}
+    scale = "categories" if colour == "grp" else scale if scale in known else "viridis"
+    return {"kind": "points", "x": "x", "y": "y", "labels": list(labels), "colour": colour, "legend": legend, "scale": scale, "size": point_size, "alpha": alpha}
+
+
+def lines(x: str, y: str, facet: str | None = None, mark: float | None = None) -> dict:
+    """A line through points; ``mark`` is a place on the x axis that stands out."""
+    return {"kind": "lines", "x": x, "y": y, "facet": facet, "mark": mark}

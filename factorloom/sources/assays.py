@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -27,19 +27,40 @@ def coo(df: DataFrame, cell: str | Column, feature: str | Column, value: str | C
 
 
 def log_normalise(assay: DataFrame) -> DataFrame:
-    """``log2(value / size factor + 1)``; a cell's size factor is its total over the mean total."""
-    totals = assay.groupBy("cell_id").agg(F.sum("value").alias("total"))
-    mean = totals.agg(F.avg("total").alias("mean"))
-    scaled = assay.join(totals, "cell_id").crossJoin(F.broadcast(mean))  # one row
+    """``log2(value / size factor + 1)``; a cell's size factor is its total over the mean total.
+
+    Totals are a window over a cell's own rows, so the assay isn't joined with itself.
+    """
+    scaled = assay.withColumn("total", F.sum("value").over(Window.partitionBy("cell_id")))
+    mean = assay.agg((F.sum("value") / F.count_distinct("cell_id")).alias("mean"))
     factor = F.col("total") / F.col("mean")
+    scaled = scaled.crossJoin(F.broadcast(mean))  # one row
     return scaled.select("cell_id", "feature_id", F.when(factor > 0, F.log2(F.col("value") / factor + 1.0)).otherwise(0.0).alias("value"))
 
 
-def subset_features(assay: DataFrame, names: Iterable[str]) -> DataFrame:
-    """Rows of the named features; unknown names are an error only if none is left to select."""
-    names = list(names)
-    if not names:
+def subset_features(assay: DataFrame, wanted: Iterable) -> DataFrame:
+    """Rows of the wanted features: names, positions from 1 or a mask over the features by name; unknown ones are named in the error."""
+    wanted = list(wanted)
+    if not wanted:
         raise ValueError("no feature selected")
+    features = sorted(r[0] for r in assay.select("feature_id").distinct().collect())
+    if all(isinstance(x, bool) for x in wanted):
+        if len(wanted) != len(features):
+            raise ValueError(f"the mask has {len(wanted)} entries for {len(features)} features")
+        names = [f for f, x in zip(features, wanted) if x]
+        if not names:
+            raise ValueError("no feature selected")
+    elif all(isinstance(x, int) for x in wanted):
+        odd = [x for x in wanted if not 1 <= x <= len(features)]
+        if odd:
+            raise ValueError(f"positions out of 1 to {len(features)}: {', '.join(map(str, odd))}")
+        names = [features[x - 1] for x in wanted]
+    else:
+        held = set(features)
+        missing = [str(x) for x in wanted if x not in held]
+        if missing:
+            raise ValueError(f"features not found: {', '.join(missing)}")
+        names = wanted
     return assay.filter(F.col("feature_id").isin(names))
 
 
@@ -78,9 +99,9 @@ def embedding_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("vec_id").cast("string").alias("cell_id"), F.concat(F.lit("d"), F.col("dim") + 1).alias("feature_id"), F.col("x").cast("double").alias("value"))
 
 
-def embedding_usage(spark: SparkSession, sf_dir: str, programs: int = 8) -> DataFrame:
-    """A fixed usage table: the first dimensions of the embeddings, negatives as zero, grouped by label."""
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.posexplode(F.slice("embedding", 1, programs)).alias("i", "x"))
+def embedding_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A fixed usage table: the components of the embeddings, negatives as zero, grouped by label."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.posexplode("embedding").alias("i", "x"))
     return rows.select(F.col("vec_id").alias("cell_id"), F.col("label").alias("grp"), (F.col("i") + 1).alias("program_idx"), F.concat(F.lit("NMF_"), F.col("i") + 1).alias("program"), F.greatest(F.col("x").cast("double"), F.lit(0.0)).alias("weight"))
 
 
@@ -93,11 +114,5 @@ def segment_basis(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = lines.join(orders, lines.l_orderkey == orders.o_orderkey).join(parts, lines.l_partkey == parts.p_partkey).join(customers, orders.o_custkey == customers.c_custkey)
     means = joined.groupBy(F.col("p_brand").alias("feature_id"), F.col("c_mktsegment").alias("program")).agg(F.round(F.avg(F.col("l_quantity").cast("double")), 6).alias("weight"))
     # Segments are few by nature; their order numbers the programs.
-    order = means.select("program").distinct().select("program", F.row_number().over(_by("program")).alias("program_idx"))
+    order = means.select("program").distinct().select("program", F.row_number().over(Window.orderBy("program")).alias("program_idx"))
     return means.join(F.broadcast(order), "program").select("feature_id", "program_idx", "program", "weight")
-
-
-def _by(column: str):
-    from pyspark.sql import Window
-
-    return Window.orderBy(column)
