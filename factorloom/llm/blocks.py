@@ -39,8 +39,8 @@ BUCKET_BYTES = 16 << 20
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Payloads that a block or a task deals at most in one step.
 FAN = 512
-#: Bytes of entries that a task gathers before it deals them on.
-REGROUP_BYTES = 16 << 20
+#: Bytes of payloads that a task gathers before it deals them on.
+REGROUP_BYTES = 4 << 20
 PACKED = "bucket int, payload binary"
 PACKED_ARROW = pa.schema([("bucket", pa.int32()), ("payload", pa.binary())])
 
@@ -241,25 +241,38 @@ def first_step(n: int, fan: int = FAN) -> int:
     return step
 
 
-def _regroup(route: Callable, step: int):
+class Route:
+    """How payloads on their way through the steps of an exchange are put together and dealt on."""
+
+    def gather(self, kind: int, payloads: list[bytes]):
+        return gathered(payloads)
+
+    def buckets(self, kind: int, e) -> np.ndarray:
+        """The bucket of each entry."""
+        raise NotImplementedError
+
+    def pack(self, kind: int, e, x: np.ndarray) -> bytes:
+        """The entries at ``x`` as a payload."""
+        return pack(kind, **{k: v[x] for k, v in e.items()})
+
+
+def _regroup(route: Route, step: int):
     """Payloads of several senders as fewer and larger ones, each for ``step`` buckets."""
 
     def run(batches):
-        held: dict[int, list] = {}
+        held: dict[int, list[bytes]] = {}
         size = 0
 
         def flush():
-            for kind, parts in held.items():
-                e = {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}
-                bucket = route(kind, e) // step
-                for b, at in by_bucket(bucket):
-                    yield packed([(b, pack(kind, **{k: v[at] for k, v in e.items()}))])
+            for kind, payloads in held.items():
+                e = route.gather(kind, payloads)
+                for b, x in by_bucket(route.buckets(kind, e) // step):
+                    yield packed([(b, route.pack(kind, e, x))])
 
         for batch in batches:
             for p in column(batch, "payload").to_pylist():
-                e = unpack(p)
-                held.setdefault(p[0], []).append(e)
-                size += sum(v.nbytes for v in e.values())
+                held.setdefault(p[0], []).append(p)
+                size += len(p)
                 if size > REGROUP_BYTES:
                     yield from flush()
                     held, size = {}, 0
@@ -268,13 +281,12 @@ def _regroup(route: Callable, step: int):
     return run
 
 
-def exchange(df: DataFrame, n: int, fn: Callable, schema: str, route: Callable | None = None, fan: int = FAN) -> DataFrame:
+def exchange(df: DataFrame, n: int, fn: Callable, schema: str, route: Route | None = None, fan: int = FAN) -> DataFrame:
     """Deal packed rows to their buckets' tasks, then run ``fn`` (``mapInArrow``) there.
 
-    With ``route`` (the buckets of a payload's entries, from its kind and them) the rows of ``df`` carry
-    ``bucket // first_step(n)``: a block then deals ``fan`` payloads at most
-    however many buckets there are, and steps between put payloads together and
-    deal them on.  Payloads thus grow in number with the input, not its square.
+    With ``route`` the rows of ``df`` carry ``bucket // first_step(n)``: a block
+    then deals ``fan`` payloads at most however many buckets there are, and steps
+    between put payloads together and deal them on.  Payloads thus grow in number with the input, not its square.
     """
     step = first_step(n, fan) if route else 1
     while step > 1:

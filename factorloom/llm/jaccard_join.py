@@ -63,17 +63,14 @@ def shingle_sets(texts: list[bytes], n: int):
     return row[first], name[first]
 
 
-def _route(buckets: int):
-    """Entries go by their column's hash, what belongs to a text block by that block."""
+class _Route(B.Route):
+    """Entries go by their column's hash, or ``back`` to their text block, as its rows do."""
 
-    def of(kind: int, e: dict[str, np.ndarray]) -> np.ndarray:
-        return B.ranged(e["blk" if kind == _ROWS else "name"], buckets)
+    def __init__(self, n: int, back: bool = False):
+        self.n, self.back = n, back
 
-    return of
-
-
-def _back(buckets: int):
-    return lambda kind, e: B.ranged(e["blk"], buckets)
+    def buckets(self, kind: int, e: dict[str, np.ndarray]) -> np.ndarray:
+        return B.ranged(e["blk" if self.back or kind == _ROWS else "name"], self.n)
 
 
 def _dealt(kind: int, bucket: np.ndarray, **columns: np.ndarray) -> list[tuple[int, bytes]]:
@@ -257,8 +254,8 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 75, hubs: int
     buckets = B.bucket_count(docs)
     base = B.steady(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")))
     dealt = base.mapInArrow(B.tidied(_incidence(n, buckets, fan)), B.PACKED)
-    back = B.exchange(dealt, buckets, _shared_columns(buckets, fan), B.PACKED, _route(buckets), fan)
-    table = B.written(B.exchange(back, buckets, _rows(percent), _TABLE, _back(buckets), fan), "rows")
+    back = B.exchange(dealt, buckets, _shared_columns(buckets, fan), B.PACKED, _Route(buckets), fan)
+    table = B.written(B.exchange(back, buckets, _rows(percent), _TABLE, _Route(buckets, back=True), fan), "rows")
     B.discard(base)
     sizes = table.filter("cols is null").select("doc_id", F.col("n").alias("n_shingles"), "node")
     # A class may have a row in several text blocks; they are equal.

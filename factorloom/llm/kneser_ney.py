@@ -1,23 +1,27 @@
-"""Interpolated modified Kneser-Ney bigram model: counted in Spark, kept as sorted hash arrays, memory-mapped by workers.
-
-Counting: a block counts its distinct (previous word, word) pairs and deals
-them by the pair's hash, so no context, however common, lies in one bucket.  A
-bucket adds the counts up, writes its shard (sorted pair hashes and counts) to
-the shared folder and sends sums by word on: occurrences, distinct words before
-it, and as a context its total and its successors seen once, twice and more
-often.  These are added up by word in a second exchange and written likewise.
-A shard is written under a name of its own and then renamed, so a task that
-runs again after its executor is lost replaces it by the same bytes.
-
-Scoring: a worker maps the shards it needs and looks up each distinct pair and
-word of a block once, by binary search of sorted queries.  Mapped pages belong
-to the operating system, so the model's size doesn't count against a worker's
-memory.  The shared folder must be one that machines can open as files
-(``file:``); a cluster mounts it.
+"""Interpolated modified Kneser-Ney n-gram model: counted in Spark, kept as sorted hash arrays, memory-mapped by workers.
+
+Counting: a block counts its distinct n-grams of the highest order and deals
+them by their hash, so no context, however common, lies in one bucket.  A
+bucket adds the counts up, writes its shard (sorted hashes and counts) to the
+shared folder and sends sums by n-gram of one order less on: as a suffix its
+occurrences and the distinct words before it, as a context its total and its
+successors seen once, twice and more often.  These are added up in the next
+exchange, written likewise and summed for the order below, down to words.
+N-grams travel as places in a payload's list of words, so a payload is small.
+A shard is one file, written under a name of its own and then renamed, so a
+task that runs again after its executor is lost replaces it by the same bytes.
+
+Scoring: a worker maps the shards it needs, a bounded number at a time, and
+looks up each distinct n-gram of a block once, by binary search of sorted
+queries.  Mapped pages belong to the operating system, so the model's size
+doesn't count against a worker's memory.  The shared folder must be one that
+machines can open as files (``file:``); a cluster mounts it.
 
 Words are hashed to 64 bits.  Text ends are tokens; text starts are contexts
-only.  Unknown words share the probability that the lowest order leaves for one
-word more than the vocabulary.
+only.  The counts of lower orders are of distinct words before, except for
+n-grams that begin with a text's start, which have none and keep their
+occurrences.  Unknown words share the probability that the lowest order leaves
+for one word more than the vocabulary.
 """
 
 from __future__ import annotations
@@ -25,6 +29,7 @@ from __future__ import annotations
 import json
 import os
 import uuid
+from collections import OrderedDict
 from urllib.parse import urlparse
 
 import numpy as np
@@ -37,6 +42,10 @@ from . import blocks as B
 #: Words hold no white space, so these can't be words.
 END, START = b" end", b" start"
 _START = B.hash_words([START])[0]
+#: Shards that a worker keeps mapped.
+MAPPED = 256
+#: What is known of an n-gram of a lower order: distinct words before it, occurrences, and as a context its total and successors seen once, twice and more.
+_SUMS = ("adj", "raw", "ctx", "n1", "n2", "n3")
 
 
 def _folder(url: str) -> str:
@@ -46,90 +55,205 @@ def _folder(url: str) -> str:
     return found.path
 
 
-def tokens(texts: list[bytes]) -> tuple[B.Words, np.ndarray]:
-    """Words of each text with its end, and the word before each (a start at first)."""
-    words = B.Words(texts, lower=True, end=END)
-    before = np.r_[_START, words.h[:-1]] if len(words.h) else words.h
-    before[words.start[:-1]] = _START
-    return words, before
+class Tokens:
+    """The tokens of a block: numbers of words in ``vocabulary`` (sorted hashes), and for each token the words before it."""
+
+    def __init__(self, texts: list[bytes], order: int):
+        self.words = B.Words(texts, lower=True, end=END)
+        h = self.words.h
+        self.vocabulary, at = np.unique(np.r_[h, _START], return_inverse=True)
+        self.at, start = at[:-1], int(at[-1])
+        # back[j]: the word j places before each token.
+        self.back = [self.at]
+        place = np.arange(len(h)) - self.words.start[self.words.doc] if len(h) else np.zeros(0, np.int64)
+        for j in range(1, order):
+            before = np.r_[np.full(min(j, len(h)), start), self.at[:-j]]
+            self.back.append(np.where(place >= j, before, start))
+
+    def grams(self, columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(distinct n-grams as rows of word numbers, which of them each token has, how many tokens have each)."""
+        v = len(self.vocabulary)
+        if v ** len(columns) < 1 << 62:
+            key = columns[0].astype(np.int64)
+            for c in columns[1:]:
+                key = key * v + c
+            held, of, count = np.unique(key, return_inverse=True, return_counts=True)
+            rows = np.empty((len(held), len(columns)), np.int64)
+            for j in range(len(columns) - 1, -1, -1):
+                held, rows[:, j] = np.divmod(held, v)
+            return rows, of, count
+        rows, of, count = np.unique(np.stack(columns, axis=1), axis=0, return_inverse=True, return_counts=True)
+        return rows, of.reshape(-1), count
+
+
+def gram_names(columns: list[np.ndarray]) -> np.ndarray:
+    """The hash of each n-gram, from its words' hashes."""
+    out = columns[0]
+    for c in columns[1:]:
+        out = B.join2(out, c)
+    return out
 
 
-def _pair_blocks(n: int):
-    def run(batches):
-        for batch in B.blocks(batches, limit=4 * B.BLOCK_BYTES):
-            words, before = tokens(B.raw(batch))
-            order = np.lexsort((words.h, before))
-            v, w = before[order], words.h[order]
-            head = B.groups(v, w)
-            count = np.diff(np.r_[head, len(v)]).astype(np.uint32)
-            v, w = v[head], w[head]
-            rows = []
-            for b, x in B.by_bucket((B.join2(v, w) % np.uint64(n)).astype(np.int64)):
-                runs = B.groups(v[x])
-                rows.append((b, B.pack(name=v[x][runs], run=np.diff(np.r_[runs, len(x)]).astype(np.uint32), w=w[x], count=count[x])))
-            if rows:
-                yield B.packed(rows)
+def _small(x: np.ndarray) -> np.ndarray:
+    return x.astype(np.min_scalar_type(int(x.max()))) if len(x) else x.astype(np.uint8)
 
-    return run
 
+def _folded(vocabulary: np.ndarray, rows: np.ndarray, **sums: np.ndarray) -> bytes:
+    """N-grams (rows of numbers in ``vocabulary``) and their sums as a payload with a word list of its own."""
+    used = np.zeros(len(vocabulary), bool)
+    used[rows.ravel()] = True
+    number = np.cumsum(used) - 1
+    k = int(used.sum())
+    kind = np.uint16 if k < 65536 else np.uint32
+    return B.pack(name=vocabulary[used], **{f"g{j}": number[rows[:, j]].astype(kind) for j in range(rows.shape[1])}, **{c: _small(x) for c, x in sums.items()})
 
-def _save(folder: str, kind: str, shard: int, **columns: np.ndarray) -> None:
-    os.makedirs(folder, exist_ok=True)
-    for name, column in columns.items():
-        path = f"{folder}/{kind}-{shard:05d}-{name}.npy"
-        own = f"{path}.{uuid.uuid4().hex}"
-        with open(own, "wb") as f:
-            np.save(f, column)
-        os.replace(own, path)
+
+def _unfolded(payloads: list[bytes]) -> tuple[list[np.ndarray], dict[str, np.ndarray]]:
+    """(words' hashes of all n-grams by place, their sums) of several payloads."""
+    grams, sums = [], []
+    for p in payloads:
+        e = B.unpack(p)
+        words = e.pop("name")
+        grams.append([words[e.pop(f"g{j}")] for j in range(sum(k[0] == "g" and k[1:].isdigit() for k in list(e)))])
+        sums.append(e)
+    if not grams:
+        return [], {}
+    columns = [np.concatenate([g[j] for g in grams]) for j in range(len(grams[0]))]
+    del grams
+    return columns, {k: np.concatenate([x.pop(k) for x in sums]) for k in list(sums[0])}
 
 
-_WORD = ("c", "cont", "ctx", "n1", "n2", "n3")
+def _numbered(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(vocabulary, rows of numbers) of n-grams given by their words' hashes."""
+    vocabulary, at = np.unique(np.concatenate(columns), return_inverse=True)
+    return vocabulary, at.reshape(len(columns), -1).T
 
 
-def _pair_shards(folder: str, n: int):
-    """Sum a bucket's pairs, write its shard, send sums by word on; discounts' counts go with them."""
+class _Route(B.Route):
+    """N-grams go by their hash, each payload with a word list of its own; counts of counts go to the first bucket."""
 
+    def __init__(self, n: int):
+        self.n = n
+
+    def gather(self, kind: int, payloads: list[bytes]):
+        if kind:
+            return sum(B.unpack(p)["of"] for p in payloads)
+        columns, sums = _unfolded(payloads)
+        return *_numbered(columns), gram_names(columns), sums
+
+    def buckets(self, kind: int, e) -> np.ndarray:
+        return np.zeros(1, np.int64) if kind else B.ranged(e[2], self.n)
+
+    def pack(self, kind: int, e, x: np.ndarray) -> bytes:
+        return B.pack(1, of=e) if kind else _folded(e[0], e[1][x], **{c: v[x] for c, v in e[3].items()})
+
+
+def _blocks(order: int, n: int, step: int):
     def run(batches):
-        e = B.gathered(batches)
-        if not e:
-            return
-        v, w, count = np.repeat(e["name"], e["run"]), e["w"], e["count"]
-        del e
-        key = B.join2(v, w)
-        order = np.argsort(key, kind="stable")
-        key, v, w, count = key[order], v[order], w[order], count[order].astype(np.int64)
-        head = B.groups(key)
-        count, key, v, w = np.add.reduceat(count, head), key[head], v[head], w[head]
-        _save(folder, "pairs", int(key[0] % np.uint64(n)), key=key, count=count.astype(np.min_scalar_type(int(count.max()))))
-        of_counts = np.array([(count == i).sum() for i in range(1, 5)], np.int64)
-        words, at = np.unique(np.concatenate([v, w]), return_inverse=True)
-        a, b, k = at[: len(v)], at[len(v) :], len(words)
-        sums = {"c": np.bincount(b, count, k), "cont": np.bincount(b, None, k), "ctx": np.bincount(a, count, k)}
-        sums |= {f"n{i}": np.bincount(a, (count == i) if i < 3 else (count > 2), k) for i in (1, 2, 3)}
-        rows = []
-        for b, x in B.by_bucket((words % np.uint64(n)).astype(np.int64)):
-            rows.append((b, B.pack(name=words[x], **{c: sums[c][x].astype(np.int64) for c in _WORD}, of=of_counts if not rows else np.zeros(0, np.int64))))
-        yield B.packed(rows)
+        for batch in B.blocks(batches, limit=4 * B.BLOCK_BYTES):
+            t = Tokens(B.raw(batch), order)
+            rows, _, count = t.grams(t.back[::-1])
+            if not len(rows):
+                continue
+            bucket = B.ranged(gram_names([t.vocabulary[rows[:, j]] for j in range(order)]), n) // step
+            yield B.packed([(b, _folded(t.vocabulary, rows[x], count=count[x])) for b, x in B.by_bucket(bucket)])
 
     return run
 
 
-_META = "tokens long, vocabulary long, types long, of array<long>, cont_of array<long>"
+def _save(folder: str, level: int, shard: int, **columns: np.ndarray) -> None:
+    """One file: a line that says what follows, then the arrays, keys first."""
+    os.makedirs(folder, exist_ok=True)
+    path = f"{folder}/{level}-{shard:06d}"
+    own = f"{path}.{uuid.uuid4().hex}"
+    kinds = {c: _small(x) if c != "key" else x for c, x in columns.items()}
+    head = json.dumps({"n": len(columns["key"]), "kinds": {c: x.dtype.str for c, x in kinds.items()}}).encode()
+    with open(own, "wb") as f:
+        f.write(head.ljust(-(-(len(head) + 1) // 8) * 8 - 1) + b"\n")
+        for x in kinds.values():
+            f.write(x.tobytes().ljust(-(-x.nbytes // 8) * 8, b"\0"))
+    os.replace(own, path)
+
+
+def _mapped(path: str) -> dict[str, np.ndarray]:
+    held = np.memmap(path, np.uint8, "r")
+    line = held[:4096].tobytes().split(b"\n", 1)[0]
+    head, at, out = json.loads(line), len(line) + 1, {}
+    for c, kind in head["kinds"].items():
+        size = head["n"] * np.dtype(kind).itemsize
+        out[c] = held[at : at + size].view(kind)
+        at += -(-size // 8) * 8
+    return out
+
 
+def _shards(folder: str, level: int, order: int, n: int, step: int):
+    """Add up a bucket's n-grams of one order, write its shard, send sums for the order below on; counts of counts go along."""
 
-def _word_shards(folder: str, n: int):
     def run(batches):
-        e = B.gathered(batches)
-        if not e:
-            return
-        order = np.argsort(e["name"], kind="stable")
-        word = e["name"][order]
-        head = B.groups(word)
-        sums = {c: np.add.reduceat(e[c][order], head) for c in _WORD}
-        word = word[head]
-        _save(folder, "words", int(word[0] % np.uint64(n)), word=word, **sums)
-        cont_of = [int((sums["cont"] == i).sum()) for i in range(1, 5)]
-        yield pa.RecordBatch.from_pylist([{"tokens": int(sums["c"].sum()), "vocabulary": int((sums["c"] > 0).sum()), "types": int(sums["cont"].sum()), "of": e["of"].reshape(-1, 4).sum(axis=0).tolist(), "cont_of": cont_of}], schema=pa.schema([("tokens", pa.int64()), ("vocabulary", pa.int64()), ("types", pa.int64()), ("of", pa.list_(pa.int64())), ("cont_of", pa.list_(pa.int64()))]))
+        payloads = [p for batch in batches for p in B.column(batch, "payload").to_pylist()]
+        shard = [p for p in payloads if p[0] == 0]
+        passed = np.zeros((order + 1, 4), np.int64)
+        for p in payloads:
+            if p[0] == 1:
+                passed += B.unpack(p)["of"].reshape(passed.shape)
+        del payloads
+        columns, e = _unfolded(shard)
+        del shard
+        if columns:
+            key = gram_names(columns)
+            by = np.argsort(key, kind="stable")
+            key = key[by]
+            head = B.groups(key)
+            key = key[head]
+            first = by[head]
+            sums = {c: np.add.reduceat(e[c][by].astype(np.int64), head) for c in list(e)}
+            columns = [c[first] for c in columns]
+            del e, by, first, head
+            if level == order:
+                adj = raw = sums["count"]
+                _save(folder, level, int(B.ranged(key[:1], n)[0]), key=key, adj=adj)
+            else:
+                raw = sums["raw"]
+                adj = np.where(columns[0] == _START, raw, sums["adj"]) if level > 1 else sums["adj"]
+                sums["adj"] = adj
+                _save(folder, level, int(B.ranged(key[:1], n)[0]), key=key, **sums)
+            passed[level] += [int((adj == i).sum()) for i in range(1, 5)]
+            if level > 1:
+                yield from _below(columns, adj, raw, n, step)
+            else:
+                passed[0] += [int(sums["raw"].sum()), int((sums["raw"] > 0).sum()), int(adj.sum()), 0]
+        if passed.any():
+            yield B.packed([(0, B.pack(1, of=passed.ravel()))])
+
+    return run
+
+
+def _below(columns: list[np.ndarray], adj: np.ndarray, raw: np.ndarray, n: int, step: int):
+    """What n-grams say of those of one order less: of the one they end in, and of the one they begin with, their context."""
+    live = np.flatnonzero(adj > 0)
+    columns, adj, raw = [c[live] for c in columns], adj[live], raw[live]
+    if not len(live):
+        return
+    vocabulary, rows = _numbered(columns)
+    names = np.concatenate([gram_names(columns[1:]), gram_names(columns[:-1])])
+    del columns
+    key, first, of = np.unique(names, return_index=True, return_inverse=True)
+    m, k = len(key), len(live)
+    suffix, prefix = of[:k], of[k:]
+    grams = np.where((first < k)[:, None], rows[first % k, 1:], rows[first % k, :-1])
+    sums = {"adj": np.bincount(suffix, None, m), "raw": np.bincount(suffix, raw, m), "ctx": np.bincount(prefix, adj, m)}
+    sums |= {f"n{i}": np.bincount(prefix, (adj == i) if i < 3 else (adj > 2), m) for i in (1, 2, 3)}
+    sums = {c: x.astype(np.int64) for c, x in sums.items()}
+    for b, x in B.by_bucket(B.ranged(key, n) // step):
+        yield B.packed([(b, _folded(vocabulary, grams[x], **{c: v[x] for c, v in sums.items()}))])
+
+
+def _totals(order: int):
+    def run(batches):
+        for batch in batches:
+            for p in B.column(batch, "payload").to_pylist():
+                if p[0] == 1:
+                    yield pa.RecordBatch.from_arrays([pa.array([B.unpack(p)["of"].tolist()], pa.list_(pa.int64()))], names=["of"])
 
     return run
 
@@ -144,67 +268,88 @@ def discounts(n: list[int]) -> list[float]:
     return out
 
 
-def train(texts: DataFrame) -> dict:
+def train(texts: DataFrame, order: int = 3, fan: int = B.FAN) -> dict:
     """Count a model over the ``text`` column; its place and totals."""
+    if order < 2:
+        raise ValueError("the order must be 2 at least")
     spark = texts.sparkSession
     B.bounded_batches(spark)
     folder = f"{_folder(B.shared_folder(spark))}/factorloom/model-{uuid.uuid4().hex}"
-    n = B.bucket_count(texts)
-    dealt = texts.select(F.col("text").cast("string")).mapInArrow(B.tidied(_pair_blocks(n)), B.PACKED)
-    words = B.exchange(dealt, n, _pair_shards(folder, n), B.PACKED)
-    parts = B.exchange(words, n, _word_shards(folder, n), _META)
-    got = parts.agg(F.sum("tokens"), F.sum("vocabulary"), F.sum("types"), *[F.sum(F.col(c)[i]) for c in ("of", "cont_of") for i in range(4)]).first()
-    got = [x or 0 for x in got]
+    B.keep(spark, f"file://{folder}")
+    n = B.bucket_count(texts, share=B.BUCKET_BYTES * 2 // (order + 1))
+    step = B.first_step(n, fan)
+    held = texts.select(F.col("text").cast("string")).mapInArrow(B.tidied(_blocks(order, n, step)), B.PACKED)
+    for level in range(order, 0, -1):
+        held = B.exchange(held, n, _shards(folder, level, order, n, step), B.PACKED, _Route(n), fan)
+    of = held.mapInArrow(_totals(order), "of array<long>")
+    got = of.agg(*[F.sum(F.col("of")[i]) for i in range(4 * (order + 1))]).first()
+    got = np.array([x or 0 for x in got]).reshape(order + 1, 4).tolist()
     B.release(spark)
-    return {"folder": folder, "shards": n, "tokens": got[0], "vocabulary": got[1], "types": got[2], "d": discounts(got[3:7]), "du": discounts(got[7:11]), "cont_of": got[7:11]}
+    tokens, vocabulary, types, _ = got[0]
+    return {"folder": folder, "order": order, "shards": n, "tokens": tokens, "vocabulary": vocabulary, "types": types, "d": [[0.0, *discounts(x)] for x in got], "word_counts": got[1]}
 
 
 class Model:
     """A model as a worker sees it."""
 
     def __init__(self, meta: dict):
-        self.meta, self.held = meta, {}
-
-    def column(self, kind: str, shard: int, name: str) -> np.ndarray:
-        key = (kind, shard, name)
-        if key not in self.held:
-            path = f"{self.meta['folder']}/{kind}-{shard:05d}-{name}.npy"
-            self.held[key] = np.load(path, mmap_mode="r") if os.path.exists(path) else np.zeros(0, np.uint64)
-        return self.held[key]
-
-    def lookup(self, kind: str, key: str, query: np.ndarray, names) -> dict[str, np.ndarray]:
-        """Values of sorted distinct hashes, 0 where unknown."""
+        self.meta, self.held = meta, OrderedDict()
+
+    def shard(self, level: int, number: int) -> dict[str, np.ndarray] | None:
+        at = (level, number)
+        if at not in self.held:
+            path = f"{self.meta['folder']}/{level}-{number:06d}"
+            self.held[at] = _mapped(path) if os.path.exists(path) else None
+            if len(self.held) > MAPPED:
+                self.held.popitem(last=False)
+        self.held.move_to_end(at)
+        return self.held[at]
+
+    def lookup(self, level: int, query: np.ndarray, names) -> dict[str, np.ndarray]:
+        """Values of distinct hashes, 0 where unknown."""
+        by = np.argsort(query)
+        asked = query[by]
         out = {c: np.zeros(len(query), np.int64) for c in names}
-        for shard, x in B.by_bucket((query % np.uint64(self.meta["shards"])).astype(np.int64)):
-            keys = self.column(kind, shard, key)
-            if not len(keys):
+        ends = np.searchsorted(B.ranged(asked, self.meta["shards"]), np.arange(self.meta["shards"] + 1))
+        for number in np.flatnonzero(np.diff(ends)):
+            held = self.shard(level, int(number))
+            if held is None:
                 continue
-            at = np.minimum(np.searchsorted(keys, query[x]), len(keys) - 1)
-            hit = keys[at] == query[x]
+            x = slice(ends[number], ends[number + 1])
+            keys = held["key"]
+            at = np.minimum(np.searchsorted(keys, asked[x]), len(keys) - 1)
+            hit = np.flatnonzero(keys[at] == asked[x])
+            to = by[x][hit]
             for c in names:
-                out[c][x[hit]] = self.column(kind, shard, c)[at[hit]]
+                out[c][to] = held[c][at[hit]]
         return out
 
-    def log10(self, words: B.Words, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def log10(self, t: Tokens) -> tuple[np.ndarray, np.ndarray]:
         """(log10 probability, training count) of each token."""
-        m = self.meta
-        if not m["types"]:
-            return np.zeros(len(words.h)), np.zeros(len(words.h), np.int64)
-        known, at = np.unique(np.concatenate([words.h, before]), return_inverse=True)
-        w = self.lookup("words", "word", known, _WORD)
-        wi, vi = at[: len(words.h)], at[len(words.h) :]
-        pairs, pi = np.unique(B.join2(before, words.h), return_inverse=True)
-        c = self.lookup("pairs", "key", pairs, ("count",))["count"][pi].astype(float)
-        d, du = np.array([0.0, *m["d"]]), np.array([0.0, *m["du"]])
-        cont = w["cont"].astype(float)
-        one, two, all_ = m["cont_of"][0], m["cont_of"][1], m["vocabulary"]
-        left = (du[1] * one + du[2] * two + du[3] * (all_ - one - two)) / m["types"]
-        lower = (np.maximum(cont - du[np.minimum(w["cont"], 3)], 0) / m["types"] + left / (m["vocabulary"] + 1))[wi]
-        ctx = w["ctx"][vi].astype(float)
-        rest = (d[1] * w["n1"] + d[2] * w["n2"] + d[3] * w["n3"])[vi]
-        seen = ctx > 0
-        p = np.where(seen, (np.maximum(c - d[np.minimum(c, 3).astype(int)], 0) + rest * lower) / np.where(seen, ctx, 1), lower)
-        return np.log10(p), w["c"][wi]
+        m, order = self.meta, self.meta["order"]
+        if not m["types"] or not len(t.at):
+            return np.zeros(len(t.at)), np.zeros(len(t.at), np.int64)
+        # Distinct n-grams of each order: those that end in a token, and below the highest also the contexts.
+        known = self.lookup(1, t.vocabulary, _SUMS)
+        d = np.array(m["d"][1])
+        one, two = m["word_counts"][:2]
+        left = (d[1] * one + d[2] * two + d[3] * (m["vocabulary"] - one - two)) / m["types"]
+        cont = known["adj"][t.at]
+        p = np.maximum(cont - d[np.minimum(cont, 3)], 0) / m["types"] + left / (m["vocabulary"] + 1)
+        context = {c: known[c][t.back[1]] for c in _SUMS}
+        for level in range(2, order + 1):
+            rows, of, _ = t.grams(t.back[level - 1 :: -1])
+            names = gram_names([t.vocabulary[rows[:, j]] for j in range(level)])
+            a = self.lookup(level, names, ("adj",))["adj"][of]
+            d = np.array(m["d"][level])
+            ctx = context["ctx"].astype(float)
+            rest = d[1] * context["n1"] + d[2] * context["n2"] + d[3] * context["n3"]
+            p = np.where(ctx > 0, (np.maximum(a - d[np.minimum(a, 3)], 0) + rest * p) / np.maximum(ctx, 1), p)
+            if level < order:
+                rows, of, _ = t.grams(t.back[level:0:-1])
+                context = self.lookup(level, gram_names([t.vocabulary[rows[:, j]] for j in range(level)]), _SUMS[2:])
+                context = {c: x[of] for c, x in context.items()}
+        return np.log10(p), known["raw"][t.at]
 
 
 _models: dict[str, Model] = {}
@@ -222,13 +367,13 @@ def _score(meta: dict):
     def run(batches):
         held = model(meta)
         for batch in B.blocks(batches):
-            words, before = tokens(B.raw(batch))
-            p, c = held.log10(words, before)
-            rows = len(words.n)
+            t = Tokens(B.raw(batch), meta["order"])
+            p, c = held.log10(t)
+            rows, doc = len(t.words.n), t.words.doc
             base = np.log10((c + 0.5) / (meta["tokens"] + 0.5 * (meta["vocabulary"] + 1))) if len(c) else p
-            sums = [np.bincount(words.doc, x, rows) for x in (c > 0, base, p)]
+            sums = [np.bincount(doc, x, rows) for x in (c > 0, base, p)]
             yield pa.RecordBatch.from_arrays(
-                [B.column(batch, "row"), pa.array(words.n), pa.array(sums[0].astype(np.int64)), pa.array(np.full(rows, meta["tokens"], np.int64)), pa.array(sums[1]), pa.array(sums[2])],
+                [B.column(batch, "row"), pa.array(t.words.n), pa.array(sums[0].astype(np.int64)), pa.array(np.full(rows, meta["tokens"], np.int64)), pa.array(sums[1]), pa.array(sums[2])],
                 names=["row", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
             )
 
@@ -242,16 +387,18 @@ def score(rows: DataFrame, meta: dict) -> DataFrame:
     return rows.select("row", "text").mapInArrow(B.tidied(_score(meta)), f"row {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
-def lm_scores(docs: DataFrame, held_out) -> DataFrame:
+def lm_scores(docs: DataFrame, held_out, order: int = 3) -> DataFrame:
     """``row`` with ``held_out``, token counts, ``base_score`` and ``score``.
 
     ``held_out`` is a condition over ``row``'s fields; the model learns from the
     rows that don't meet it.  Defined results: a null text is empty and has its
     end alone; a null id is scored like any other and never held out (its
     condition is null); rows are scored one by one, so repeated rows agree; with
-    nothing to learn from, ``score`` is 0; further columns stay inside ``row``.
+    nothing to learn from, ``score`` is 0; very long texts are scored whole; an
+    empty table gives an empty result; further columns stay inside ``row``, so
+    their names may clash.
     """
     rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row")).select("row", F.coalesce(F.col("row.text").cast("string"), F.lit("")).alias("text"))
     out = F.coalesce(held_out, F.lit(False))
-    meta = train(rows.filter(~out).select("text"))
+    meta = train(rows.filter(~out).select("text"), order)
     return score(rows, meta).withColumn("held_out", out)

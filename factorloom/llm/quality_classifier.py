@@ -1,9 +1,10 @@
 """Quality classifier: perplexity under a language model of trusted text.
 
-A Kneser-Ney model is trained on a bounded sample of rows labelled good.  Its
-counts are sharded by hash; every document's distinct words and pairs are
-joined with the shards where the documents are read, so documents never
-shuffle.  All good rows that weren't trained on give each language's quantile
+A Kneser-Ney model of order ``order`` is trained on a bounded sample of rows
+labelled good.  Its counts are sharded by hash; every block's distinct n-grams
+are looked up in the mapped shards where the documents are read, so documents
+never shuffle (a join of all documents' n-grams with the shards would move
+several times the input; see the README).  All good rows that weren't trained on give each language's quantile
 of log perplexity; documents above it by more than ``slack`` are rejected.
 Languages with fewer than ``LEAST`` such rows take the quantile over all.
 
@@ -18,8 +19,10 @@ of the bins that hold them.
 Defined results: null and empty texts have their end alone and are rejected; a
 null language, one that the labels don't have or one of which fewer than
 ``LEAST`` good rows are left takes the threshold over all languages; rows are
-judged one by one; without labels nothing is trusted and only empty texts go; an empty
-table gives an empty result; further columns stay inside ``row``.
+judged one by one, those that repeat an id too (each trains, or none); a text at
+its threshold is kept; very long texts are scored whole; without labels nothing
+is trusted and only empty texts go; an empty table gives an empty result;
+further columns stay inside ``row``, so their names may clash.
 """
 
 from __future__ import annotations
@@ -34,7 +37,7 @@ from . import kneser_ney
 FIT_ROWS, QUANTILE, SLACK, LEAST = 20_000, 0.995, 0.05, 50
 
 
-def quality_classifier(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, quantile: float = QUANTILE, slack: float = SLACK) -> DataFrame:
+def quality_classifier(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, quantile: float = QUANTILE, slack: float = SLACK, order: int = 3) -> DataFrame:
     """``row`` with ``n_tokens``, ``perplexity``, ``threshold`` and ``kept``."""
     spark = docs.sparkSession
     B.bounded_batches(spark)
@@ -44,7 +47,9 @@ def quality_classifier(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_R
     key = F.col("row.doc_id").cast("long")
     trained = B.written(_sample(rows.select(key.alias("good_id"), F.col("row.lang").cast("string").alias("lang")), good, fit_rows), "trained")
     # The list has at most fit_rows ids.
-    meta = kneser_ney.train(B.written(rows.join(F.broadcast(trained), key == F.col("good_id")).select("text"), "trusted"))
+    trusted = B.written(rows.join(F.broadcast(trained), key == F.col("good_id")).select("text"), "trusted")
+    meta = kneser_ney.train(trusted, order)
+    B.discard(trusted)
     named = rows.filter(key.isNotNull()).select(F.struct(key.alias("good_id"), F.col("row.lang").cast("string").alias("lang")).alias("row"), "text")
     logs = _per_token(kneser_ney.score(named, meta)).filter("n_tokens > 1").select("row.good_id", "row.lang", "log_perplexity")
     logs = logs.join(good, "good_id", "left_semi").join(F.broadcast(trained), "good_id", "left_anti")

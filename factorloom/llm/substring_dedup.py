@@ -165,12 +165,14 @@ def _choose(found, names, a, b, live, level) -> None:
 _OPEN, _DONE, _ROWS = 0, 1, 2
 
 
-def _route(n: int):
-    return lambda kind, e: B.ranged(e["blk" if kind else "name"], n)
+class _Route(B.Route):
+    """Entries go by their name, all else and what comes ``back`` to its text block."""
 
+    def __init__(self, n: int, back: bool = False):
+        self.n, self.back = n, back
 
-def _back(n: int):
-    return lambda kind, e: B.ranged(e["blk"], n)
+    def buckets(self, kind: int, e: dict[str, np.ndarray]) -> np.ndarray:
+        return B.ranged(e["blk" if self.back or kind != _OPEN else "name"], self.n)
 
 
 def _sent(kind: int, bucket: np.ndarray, **columns: np.ndarray) -> list[tuple[int, bytes]]:
@@ -376,7 +378,7 @@ def repeats(docs: DataFrame, window: int = 13, rounds: int = ROUNDS, fan: int =
     again = not base.groupBy("doc_id").count().filter("count > 1").isEmpty()
 
     def known(dealt: DataFrame, fn, name: str) -> DataFrame:
-        out = B.exchange(B.exchange(dealt, n, fn, B.PACKED, _route(n), fan), n, _document_rows, _DOCUMENT_ROWS, _back(n), fan)
+        out = B.exchange(B.exchange(dealt, n, fn, B.PACKED, _Route(n), fan), n, _document_rows, _DOCUMENT_ROWS, _Route(n, back=True), fan)
         # Equal rows of a document may lie in several blocks; they know the same.
         return B.written(out.dropDuplicates(["doc_id", "text_key"]) if again else out, name)
 

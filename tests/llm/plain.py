@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import xxhash
-from factorloom.llm import kneser_ney, packing, quality_classifier
+from factorloom.llm import packing, quality_classifier
 
 
 def words(text):
@@ -27,37 +27,61 @@ def signed(h):
     return h - (1 << 64) if h >> 63 else h
 
 
-def bigram_model(texts):
-    """log10 probability of a text and its number of tokens, as a function."""
-    pairs, ctx, train = Counter(), Counter(), Counter()
+def discounts(counts):
+    """The three discounts of modified Kneser-Ney from the counts of one order, by their textbook formula."""
+    n1, n2, n3, n4 = (sum(c == k for c in counts) for k in (1, 2, 3, 4))
+    y = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
+    d1 = 1 - 2 * y * n2 / n1 if n1 else y
+    d2 = 2 - 3 * y * n3 / n2 if n2 else 2 * y
+    d3 = 3 - 4 * y * n4 / n3 if n3 else 3 * y
+    return [0, min(max(d1, 0.05), 0.95), min(max(d2, 0.05), 1.95), min(max(d3, 0.05), 2.95)]
+
+
+def ngram_model(texts, order):
+    """Probability of a word after others, and log10 probability and tokens of a text, as functions; the training tokens' counts."""
     split = lambda t: [*(t or "").encode().lower().split(), "end"]
+    raw = [Counter() for _ in range(order + 1)]
     for t in texts:
-        w = split(t)
-        train.update(w)
-        for a, b in zip(["start", *w], w):
-            pairs[a, b] += 1
-            ctx[a] += 1
-    cont, rest = Counter(b for _, b in pairs), Counter()
-    d, du = ([0, *kneser_ney.discounts([sum(c == k for c in x.values()) for k in (1, 2, 3, 4)])] for x in (pairs, cont))
-    for (a, _), c in pairs.items():
-        rest[a] += d[min(c, 3)]
-    left = sum(du[min(c, 3)] for c in cont.values()) / len(pairs) if pairs else 0
-
-    def p(a, b):
-        low = max(cont[b] - du[min(cont[b], 3)], 0) / len(pairs) + left / (len(train) + 1)
-        return low if not ctx[a] else (max(pairs[a, b] - d[min(pairs[a, b], 3)], 0) + rest[a] * low) / ctx[a]
+        w = ["start"] * (order - 1) + split(t)
+        for i in range(order - 1, len(w)):
+            for m in range(1, order + 1):
+                raw[m][tuple(w[i - m + 1 : i + 1])] += 1
+    # Lower orders count the distinct words before, unless a text's start leaves none.
+    adj = [None] * (order + 1)
+    adj[order] = raw[order]
+    for m in range(order - 1, 0, -1):
+        cont = Counter(g[1:] for g in adj[m + 1])
+        adj[m] = Counter({g: raw[m][g] if m > 1 and g[0] == "start" else cont[g] for g in raw[m]})
+    d = [None, *[discounts(adj[m].values()) for m in range(1, order + 1)]]
+    total, rest = defaultdict(int), defaultdict(float)
+    for m in range(1, order + 1):
+        for g, c in adj[m].items():
+            total[m, g[:-1]] += c
+            rest[m, g[:-1]] += d[m][min(c, 3)]
+    words_ = len(raw[1])
+
+    def p(*gram):
+        m = len(gram)
+        if m == 0:
+            return 1 / (words_ + 1)
+        context = (m, gram[:-1])
+        if not total.get(context):
+            return p(*gram[1:])
+        c = adj[m].get(gram, 0)
+        return (max(c - d[m][min(c, 3)], 0) + rest[context] * p(*gram[1:])) / total[context]
 
     def score(text):
-        w = split(text)
-        return sum(math.log10(p(a, b)) for a, b in zip(["start", *w], w)) if pairs else 0.0, len(w)
+        w = ["start"] * (order - 1) + split(text)
+        n = len(w) - order + 1
+        return (sum(math.log10(p(*w[i : i + order])) for i in range(n)) if words_ else 0.0), n
 
-    return score
+    return p, score, Counter({g[0]: c for g, c in raw[1].items()})
 
 
 def quality(docs, labels):
     good = sorted({i for i, q, _ in labels if q == 1 and i is not None}, key=lambda i: (signed(spark_hash(i)), i))[: quality_classifier.FIT_ROWS]
     part = {i: signed(spark_hash(i, first=5)) % 4 for i in good}
-    score = bigram_model([t for i, t, *_ in docs if part.get(i, 9) < 2])
+    _, score, _ = ngram_model([t for i, t, *_ in docs if part.get(i, 9) < 2], 3)
     own, seen = defaultdict(list), []
     for i, t, lang, *_ in docs:
         if part.get(i, 0) >= 2:

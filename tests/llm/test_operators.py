@@ -6,6 +6,9 @@ import re
 import zlib
 from collections import Counter
 
+import sys
+from pathlib import Path
+
 import numpy as np
 import public_tokenizers
 import pytest
@@ -14,6 +17,9 @@ from pyspark.sql import functions as F
 from factorloom.llm import jaccard_join, kneser_ney, mixing, nearest, packing, quality_classifier, quality_rules, substring_dedup, token_counts, toxicity
 from factorloom.llm import blocks as B
 
+sys.path.insert(0, str(Path(__file__).parent))
+import plain  # noqa: E402
+
 SCHEMA = "doc_id long, text string, lang string, source string, n_words long, bucket string, data string"
 BPE = public_tokenizers.path("byte_bpe_50k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -236,47 +242,40 @@ def test_equal_rows_are_drawn_one_by_one(spark):
     assert abs(out.agg(F.sum("taken")).first()[0] - 9000) <= 6 and out.agg(F.max("copies")).first()[0] == 2
 
 
-def test_language_model_sums_to_one_and_scores(docs, empty):
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_language_model_sums_to_one_and_scores(docs, empty, order):
     out = F.crc32(F.col("row.doc_id").cast("string")) % 5 == 1
-    got = kneser_ney.lm_scores(docs, out).collect()
-    train, N = Counter(), 0
-    texts = [(i, (t or "").encode().lower().split() + [b"."]) for i, t, *_ in rows()]
+    got = kneser_ney.lm_scores(docs, out, order).collect()
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 == 1
-    for i, w in texts:
-        if not held(i):
-            train.update([*w[:-1], "end"])
-    N = sum(train.values())
-    pairs, ctx = Counter(), Counter()
-    for i, w in texts:
-        if not held(i):
-            for a, b in zip(["start", *w[:-1]], [*w[:-1], "end"]):
-                pairs[a, b] += 1
-                ctx[a] += 1
-    cont = Counter(b for _, b in pairs)
-    d = [0, *kneser_ney.discounts([sum(c == k for c in pairs.values()) for k in (1, 2, 3, 4)])]
-    du = [0, *kneser_ney.discounts([sum(c == k for c in cont.values()) for k in (1, 2, 3, 4)])]
-    V = len(train)
-    left = sum(du[min(c, 3)] for c in cont.values()) / len(pairs)
-    rest = Counter()
-    for (a, _), c in pairs.items():
-        rest[a] += d[min(c, 3)]
-
-    def p(a, b):
-        low = max(cont[b] - du[min(cont[b], 3)], 0) / len(pairs) + left / (V + 1)
-        return low if not ctx[a] else (max(pairs[a, b] - d[min(pairs[a, b], 3)], 0) + rest[a] * low) / ctx[a]
-
-    for a in ("start", b"ha", b"w1", "unseen"):
-        assert abs(sum(p(a, b) for b in train) + p(a, "never") - 1) < 1e-9
+    p, score, train = plain.ngram_model([t for i, t, *_ in rows() if not held(i)], order)
+    N, V = sum(train.values()), len(train)
+    for a in (["start"] * (order - 1), ["start", b"ha"][-(order - 1) :], [b"ha"] * (order - 1), [b"w1", b"w3"][: order - 1], ["unseen"] * (order - 1)):
+        assert abs(sum(p(*a, b) for b in train) + p(*a, "never") - 1) < 1e-9
     want = {}
-    for (i, w), (_, t, *_) in zip(texts, rows()):
-        tok = [*w[:-1], "end"]
-        want[i, t] = (held(i), len(tok), sum(train[x] > 0 for x in tok), sum(np.log10((train[x] + 0.5) / (N + 0.5 * (V + 1))) for x in tok), sum(np.log10(p(a, b)) for a, b in zip(["start", *tok[:-1]], tok)))
+    for i, t, *_ in rows():
+        tok = [*(t or "").encode().lower().split(), "end"]
+        want[i, t] = (held(i), len(tok), sum(train[x] > 0 for x in tok), sum(np.log10((train[x] + 0.5) / (N + 0.5 * (V + 1))) for x in tok), score(t)[0])
     assert len(got) == len(rows())
     for r in got:
         w = want[r.row.doc_id, r.row.text]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (*w[:3], N)
         assert np.isclose(r.base_score, w[3], rtol=1e-9) and np.isclose(r.score, w[4], rtol=1e-9)
-    assert kneser_ney.lm_scores(empty, out).count() == 0
+    assert kneser_ney.lm_scores(empty, out, order).count() == 0
+
+
+def test_a_worker_maps_a_bounded_number_of_shards(spark, docs, monkeypatch):
+    monkeypatch.setattr(B, "bucket_count", lambda *a, **b: 40)
+    meta = kneser_ney.train(docs.select("text"), 3)
+    monkeypatch.setattr(kneser_ney, "MAPPED", 8)
+    held = kneser_ney.Model(meta)
+    t = kneser_ney.Tokens([(x or "").encode() for _, x, *_ in rows()], 3)
+    few = held.log10(t)
+    assert len(held.held) <= 8
+    monkeypatch.setattr(kneser_ney, "MAPPED", 10**6)
+    whole = kneser_ney.Model(meta)
+    assert (whole.log10(t)[0] == few[0]).all() and len(whole.held) <= 120
+    # Dealt in steps of three at most.
+    assert (kneser_ney.Model(kneser_ney.train(docs.select("text"), 3, fan=3)).log10(t)[0] == few[0]).all()
 
 
 def test_quality_classifier_rejects_noise(spark, docs, empty):
