@@ -15,7 +15,7 @@ from __future__ import annotations
 import atexit
 import ctypes
 import gc
-import pickle
+import re
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -38,7 +38,7 @@ BUCKET_BYTES = 16 << 20
 #: Drops an execution's shuffle files when it ends; what it has written outlives them.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Payloads that a block or a task deals at most in one step.
-FAN = 512
+FAN = 2048
 #: Bytes of payloads that a task gathers before it deals them on.
 REGROUP_BYTES = 4 << 20
 PACKED = "bucket int, payload binary"
@@ -155,22 +155,27 @@ def pack(_kind: int = 0, **arrays: np.ndarray) -> bytes:
 
     ``name`` is kept as the steps between its values, which are small where it is sorted.
     """
-    out = {}
+    head, body = [], []
     for k, a in arrays.items():
         a = np.ascontiguousarray(a)
         if k == "name":  # sorted hashes: keep the steps between them
             a = np.diff(a, prepend=a.dtype.type(0))
-        out[k] = (a.dtype.str, a.view(np.uint8).reshape(len(a), -1).T.tobytes() if len(a) else b"")
-    return bytes([_kind]) + zstandard.ZstdCompressor(level=1).compress(pickle.dumps(out, protocol=5))
+        head.append(f"{k}{a.dtype.str}{len(a)}")
+        body.append(a.view(np.uint8).reshape(len(a), -1).T.tobytes() if len(a) else b"")
+    return bytes([_kind]) + zstandard.ZstdCompressor(level=1).compress(b"".join([",".join(head).encode(), b"\n", *body]))
 
 
 def unpack(payload: bytes) -> dict[str, np.ndarray]:
+    data = zstandard.ZstdDecompressor().decompress(memoryview(payload)[1:])
+    at = data.index(b"\n") + 1
     out = {}
-    for k, (kind, data) in pickle.loads(zstandard.ZstdDecompressor().decompress(memoryview(payload)[1:])).items():
-        d = np.dtype(kind)
-        out[k] = np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(d.itemsize, -1).T).reshape(-1).view(d) if data else np.zeros(0, d)
+    for k, kind, n in re.findall(r"(\w+)([<>|]\w\d)(\d+)", data[: at - 1].decode()):
+        d, n = np.dtype(kind), int(n)
+        held = np.frombuffer(data, np.uint8, n * d.itemsize, at).reshape(d.itemsize, n)
+        out[k] = np.ascontiguousarray(held.T).reshape(-1).view(d) if n else np.zeros(0, d)
         if k == "name":
             out[k] = np.cumsum(out[k], dtype=d)
+        at += n * d.itemsize
     return out
 
 

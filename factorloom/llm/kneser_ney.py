@@ -7,7 +7,8 @@ shared folder and sends sums by n-gram of one order less on: as a suffix its
 occurrences and the distinct words before it, as a context its total and its
 successors seen once, twice and more often.  These are added up in the next
 exchange, written likewise and summed for the order below, down to words.
-N-grams travel as places in a payload's list of words, so a payload is small.
+N-grams travel as the hashes of their words, the first of them sorted, so a
+payload's bytes don't depend on how many buckets there are.
 A shard is one file, written under a name of its own and then renamed, so a
 task that runs again after its executor is lost replaces it by the same bytes.
 
@@ -62,13 +63,14 @@ class Tokens:
         self.words = B.Words(texts, lower=True, end=END)
         h = self.words.h
         self.vocabulary, at = np.unique(np.r_[h, _START], return_inverse=True)
-        self.at, start = at[:-1], int(at[-1])
+        self.at, start = at[:-1].astype(np.int32), int(at[-1])
+        self.words.lists = None  # hashes are enough from here on
         # back[j]: the word j places before each token.
         self.back = [self.at]
         place = np.arange(len(h)) - self.words.start[self.words.doc] if len(h) else np.zeros(0, np.int64)
         for j in range(1, order):
-            before = np.r_[np.full(min(j, len(h)), start), self.at[:-j]]
-            self.back.append(np.where(place >= j, before, start))
+            before = np.r_[np.full(min(j, len(h)), start, np.int32), self.at[:-j]]
+            self.back.append(np.where(place >= j, before, np.int32(start)))
 
     def grams(self, columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(distinct n-grams as rows of word numbers, which of them each token has, how many tokens have each)."""
@@ -98,54 +100,37 @@ def _small(x: np.ndarray) -> np.ndarray:
     return x.astype(np.min_scalar_type(int(x.max()))) if len(x) else x.astype(np.uint8)
 
 
-def _folded(vocabulary: np.ndarray, rows: np.ndarray, **sums: np.ndarray) -> bytes:
-    """N-grams (rows of numbers in ``vocabulary``) and their sums as a payload with a word list of its own."""
-    used = np.zeros(len(vocabulary), bool)
-    used[rows.ravel()] = True
-    number = np.cumsum(used) - 1
-    k = int(used.sum())
-    kind = np.uint16 if k < 65536 else np.uint32
-    return B.pack(name=vocabulary[used], **{f"g{j}": number[rows[:, j]].astype(kind) for j in range(rows.shape[1])}, **{c: _small(x) for c, x in sums.items()})
+def _folded(columns: list[np.ndarray], x: np.ndarray, **sums: np.ndarray) -> bytes:
+    """The n-grams at ``x`` (words' hashes by place) and their sums as a payload."""
+    x = x[np.argsort(columns[0][x], kind="stable")]
+    return B.pack(name=columns[0][x], **{f"g{j}": c[x] for j, c in enumerate(columns[1:])}, **{c: _small(v[x]) for c, v in sums.items()})
 
 
 def _unfolded(payloads: list[bytes]) -> tuple[list[np.ndarray], dict[str, np.ndarray]]:
     """(words' hashes of all n-grams by place, their sums) of several payloads."""
-    grams, sums = [], []
-    for p in payloads:
-        e = B.unpack(p)
-        words = e.pop("name")
-        grams.append([words[e.pop(f"g{j}")] for j in range(sum(k[0] == "g" and k[1:].isdigit() for k in list(e)))])
-        sums.append(e)
-    if not grams:
+    e = B.gathered(payloads)
+    if not e:
         return [], {}
-    columns = [np.concatenate([g[j] for g in grams]) for j in range(len(grams[0]))]
-    del grams
-    return columns, {k: np.concatenate([x.pop(k) for x in sums]) for k in list(sums[0])}
-
-
-def _numbered(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(vocabulary, rows of numbers) of n-grams given by their words' hashes."""
-    vocabulary, at = np.unique(np.concatenate(columns), return_inverse=True)
-    return vocabulary, at.reshape(len(columns), -1).T
+    columns = [e.pop("name")]
+    while f"g{len(columns) - 1}" in e:
+        columns.append(e.pop(f"g{len(columns) - 1}"))
+    return columns, e
 
 
 class _Route(B.Route):
-    """N-grams go by their hash, each payload with a word list of its own; counts of counts go to the first bucket."""
+    """N-grams go by their hash, counts of counts to the first bucket."""
 
     def __init__(self, n: int):
         self.n = n
 
     def gather(self, kind: int, payloads: list[bytes]):
-        if kind:
-            return sum(B.unpack(p)["of"] for p in payloads)
-        columns, sums = _unfolded(payloads)
-        return *_numbered(columns), gram_names(columns), sums
+        return sum(B.unpack(p)["of"] for p in payloads) if kind else _unfolded(payloads)
 
     def buckets(self, kind: int, e) -> np.ndarray:
-        return np.zeros(1, np.int64) if kind else B.ranged(e[2], self.n)
+        return np.zeros(1, np.int64) if kind else B.ranged(gram_names(e[0]), self.n)
 
     def pack(self, kind: int, e, x: np.ndarray) -> bytes:
-        return B.pack(1, of=e) if kind else _folded(e[0], e[1][x], **{c: v[x] for c, v in e[3].items()})
+        return B.pack(1, of=e) if kind else _folded(e[0], x, **e[1])
 
 
 def _blocks(order: int, n: int, step: int):
@@ -155,8 +140,9 @@ def _blocks(order: int, n: int, step: int):
             rows, _, count = t.grams(t.back[::-1])
             if not len(rows):
                 continue
-            bucket = B.ranged(gram_names([t.vocabulary[rows[:, j]] for j in range(order)]), n) // step
-            yield B.packed([(b, _folded(t.vocabulary, rows[x], count=count[x])) for b, x in B.by_bucket(bucket)])
+            columns = [t.vocabulary[rows[:, j]] for j in range(order)]
+            del rows, t
+            yield B.packed([(b, _folded(columns, x, count=count)) for b, x in B.by_bucket(B.ranged(gram_names(columns), n) // step)])
 
     return run
 
@@ -234,18 +220,18 @@ def _below(columns: list[np.ndarray], adj: np.ndarray, raw: np.ndarray, n: int,
     columns, adj, raw = [c[live] for c in columns], adj[live], raw[live]
     if not len(live):
         return
-    vocabulary, rows = _numbered(columns)
     names = np.concatenate([gram_names(columns[1:]), gram_names(columns[:-1])])
-    del columns
     key, first, of = np.unique(names, return_index=True, return_inverse=True)
+    del names
     m, k = len(key), len(live)
     suffix, prefix = of[:k], of[k:]
-    grams = np.where((first < k)[:, None], rows[first % k, 1:], rows[first % k, :-1])
+    grams = [np.where(first < k, columns[j + 1][first % k], columns[j][first % k]) for j in range(len(columns) - 1)]
+    del columns
     sums = {"adj": np.bincount(suffix, None, m), "raw": np.bincount(suffix, raw, m), "ctx": np.bincount(prefix, adj, m)}
     sums |= {f"n{i}": np.bincount(prefix, (adj == i) if i < 3 else (adj > 2), m) for i in (1, 2, 3)}
     sums = {c: x.astype(np.int64) for c, x in sums.items()}
     for b, x in B.by_bucket(B.ranged(key, n) // step):
-        yield B.packed([(b, _folded(vocabulary, grams[x], **{c: v[x] for c, v in sums.items()}))])
+        yield B.packed([(b, _folded(grams, x, **sums))])
 
 
 def _totals(order: int):
@@ -276,7 +262,7 @@ def train(texts: DataFrame, order: int = 3, fan: int = B.FAN) -> dict:
     B.bounded_batches(spark)
     folder = f"{_folder(B.shared_folder(spark))}/factorloom/model-{uuid.uuid4().hex}"
     B.keep(spark, f"file://{folder}")
-    n = B.bucket_count(texts, share=B.BUCKET_BYTES * 2 // (order + 1))
+    n = B.bucket_count(texts, share=B.BUCKET_BYTES * 2 // order)
     step = B.first_step(n, fan)
     held = texts.select(F.col("text").cast("string")).mapInArrow(B.tidied(_blocks(order, n, step)), B.PACKED)
     for level in range(order, 0, -1):

@@ -11,10 +11,9 @@ Languages with fewer than ``LEAST`` such rows take the quantile over all.
 Half of the good ids, by hash, may be trained on, at most ``fit_rows`` of them:
 that bound is a parameter, and the only one.  If they are more, half of the
 bound goes to the ids with the least hash and the other to languages in turn,
-so that a rare language has all of its ids or an equal share.  Every good row
-left is scored by a pass of its own (its scores alone are shuffled, to be
-joined with the labels); quantiles are exact, from counts by bin and the rows
-of the bins that hold them.
+so that a rare language has all of its ids or an equal share.  Rows are scored
+once and written with their scores; those of the good rows left give quantiles,
+exact, from counts by bin and the rows of the bins that hold them.
 
 Defined results: null and empty texts have their end alone and are rejected; a
 null language, one that the labels don't have or one of which fewer than
@@ -37,37 +36,35 @@ from . import kneser_ney
 FIT_ROWS, QUANTILE, SLACK, LEAST = 20_000, 0.995, 0.05, 50
 
 
-def quality_classifier(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, quantile: float = QUANTILE, slack: float = SLACK, order: int = 3) -> DataFrame:
-    """``row`` with ``n_tokens``, ``perplexity``, ``threshold`` and ``kept``."""
+def quality_classifier(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, quantile: float = QUANTILE, slack: float = SLACK, order: int = 3, columns: list[str] | None = None) -> DataFrame:
+    """``row`` (of ``columns``, or all) with ``n_tokens``, ``perplexity``, ``threshold`` and ``kept``."""
     spark = docs.sparkSession
     B.bounded_batches(spark)
     good = labels.filter("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("good_id")).distinct()
-    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"))
-    rows = rows.select("row", F.coalesce(F.col("row.text").cast("string"), F.lit("")).alias("text"))
-    key = F.col("row.doc_id").cast("long")
-    trained = B.written(_sample(rows.select(key.alias("good_id"), F.col("row.lang").cast("string").alias("lang")), good, fit_rows), "trained")
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in columns or docs.columns]).alias("row"), docs["doc_id"].cast("long").alias("good_id"), docs["lang"].cast("string").alias("lang"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"))
+    trained = B.written(_sample(rows.select("good_id", "lang"), good, fit_rows), "trained")
     # The list has at most fit_rows ids.
-    trusted = B.written(rows.join(F.broadcast(trained), key == F.col("good_id")).select("text"), "trusted")
+    trusted = B.written(rows.join(F.broadcast(trained), "good_id").select("text"), "trusted")
     meta = kneser_ney.train(trusted, order)
     B.discard(trusted)
-    named = rows.filter(key.isNotNull()).select(F.struct(key.alias("good_id"), F.col("row.lang").cast("string").alias("lang")).alias("row"), "text")
-    logs = _per_token(kneser_ney.score(named, meta)).filter("n_tokens > 1").select("row.good_id", "row.lang", "log_perplexity")
+    scored = kneser_ney.score(rows.select(F.struct("row", "good_id", "lang").alias("row"), "text"), meta)
+    scored = scored.select("row.row", "row.good_id", "row.lang", "n_tokens", (-F.col("score") / F.col("n_tokens")).alias("log_perplexity"))
+    scored = B.written(scored, "scored")  # read for the thresholds and for the verdicts
+    B.delete(spark, f"file://{meta['folder']}")
+    logs = scored.filter("good_id is not null and n_tokens > 1").select("good_id", "lang", "log_perplexity")
     logs = logs.join(good, "good_id", "left_semi").join(F.broadcast(trained), "good_id", "left_anti")
     logs = B.written(logs.select("lang", "log_perplexity"), "trusted-scores")
     every = _quantiles(logs.select(F.lit("").alias("lang"), "log_perplexity"), quantile).first()
     every = float("inf") if every is None else every["q"] + slack
-    own = _quantiles(logs.filter("lang is not null"), quantile).filter(F.col("n") >= LEAST).select("lang", (F.col("q") + slack).alias("own"))
-    scored = _per_token(kneser_ney.score(rows, meta))
+    own = _quantiles(logs.filter("lang is not null"), quantile).filter(F.col("n") >= LEAST).select(F.col("lang").alias("own_lang"), (F.col("q") + slack).alias("own"))
+    own = B.written(own, "thresholds", coalesce=1)
+    B.discard(trained, logs)
     # One row for each language with LEAST good rows or more.
-    out = scored.join(F.broadcast(own), F.col("row.lang").cast("string") == F.col("lang"), "left")
+    out = scored.join(F.broadcast(own), F.col("lang") == F.col("own_lang"), "left")
     limit = F.coalesce("own", F.lit(every))
     return out.select("row", "n_tokens", F.pow(F.lit(10.0), "log_perplexity").alias("perplexity"), F.pow(F.lit(10.0), limit).alias("threshold"), ((F.col("n_tokens") > 1) & (F.col("log_perplexity") <= limit)).alias("kept"))
 
 
-def _per_token(scored: DataFrame) -> DataFrame:
-    return scored.withColumn("log_perplexity", -F.col("score") / F.col("n_tokens"))
-
-
 def _sample(named: DataFrame, good: DataFrame, fit_rows: int) -> DataFrame:
     """(good_id): the ids to train on; see the module's text.  An id of several rows counts for the least of their languages."""
     may = good.filter(F.pmod(F.xxhash64(F.lit(5), "good_id"), F.lit(4)) < 2)

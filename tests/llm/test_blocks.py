@@ -69,7 +69,7 @@ def test_a_shared_passage_costs_entries_by_block(spark, copies):
 
 
 def test_steps():
-    assert B.first_step(512) == 1 and B.first_step(513) == 512 and B.first_step(6_000_000) == 512 * 512
+    assert B.first_step(2048) == 1 and B.first_step(2049) == 2048 and B.first_step(6_000_000) == 2048 * 2048 and B.first_step(4_000_000) == 2048
     assert [B.first_step(30, f) for f in (3, 6, 100)] == [27, 6, 1]
     h = B.mix(np.arange(1000, dtype=np.uint64))
     for n in (1, 2, 1800):
@@ -78,14 +78,14 @@ def test_steps():
 
 
 def test_sent_bytes_do_not_grow_with_the_buckets():
-    """One block's incidence, dealt to 2 to 1800 buckets in steps of 512 at most."""
+    """One block's incidence, dealt to 2 to 1800 buckets, and to more in steps."""
     rnd = np.random.default_rng(1)
     name, row = np.sort(B.mix(rnd.integers(0, 1 << 62, 300_000).astype(np.uint64))), rnd.integers(0, 1500, 300_000).astype(np.uint16)
     blk = np.full(len(name), 77, np.uint64)
     sent = {}
-    for n in (2, 33, 256, 1800):
+    for n in (2, 33, 256, 1800, 6000):
         out = jaccard_join._dealt(0, B.ranged(name, n) // B.first_step(n), name=name, row=row, blk=blk)
-        assert len(out) <= 512
+        assert len(out) <= B.FAN
         sent[n] = sum(len(p) for _, p in out)
     assert max(sent.values()) < 1.15 * min(sent.values()), sent
 
