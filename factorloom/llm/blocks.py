@@ -357,6 +357,17 @@ def cleanup() -> None:
 atexit.register(cleanup)
 
 
+def left() -> set[str]:
+    """The folders that :func:`cleanup` would delete."""
+    return set(_left)
+
+
+def drop(paths: set[str]) -> None:
+    """Delete those of the folders that are left."""
+    for path in paths & set(_left):
+        delete(_left[path], path)
+
+
 def keep(spark: SparkSession, path: str) -> str:
     """Note a folder for :func:`cleanup`."""
     _left[path] = spark

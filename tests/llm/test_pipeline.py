@@ -11,6 +11,7 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).parent))
 import plain  # noqa: E402
+from factorloom.llm import blocks as B  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -88,3 +89,59 @@ def test_stages_on_the_given_tables(spark):
     assert 0.7 * counts[0] < kept < counts[0] and cut <= unique <= kept and mixed > 0
     assert docs.filter("n_chars <> length(text)").count() == 0
     assert corpus_pipeline.run(spark, SF).select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
+
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def _tables(spark, path, docs, schema, labels):
+    spark.createDataFrame(docs, schema).write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    return str(path)
+
+
+def test_empty_tables(spark, tmp_path):
+    folder = _tables(spark, tmp_path, [], DOCS, [])
+    held = spark.read.parquet(f"{folder}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, held, folder)
+        assert out.columns == held.columns and out.count() == 0
+    assert corpus_pipeline.run(spark, folder).count() == 0
+
+
+def test_only_empty_texts_go_without_labels(spark, tmp_path):
+    docs = [(1, "a b c", "en", "s", 5), (2, "", "en", "s", 0), (3, None, None, None, None), (4, " ".join(f"w{i}" for i in range(40_000)), "en", None, 1)]
+    folder = _tables(spark, tmp_path, docs, DOCS, [])
+    held = corpus_pipeline.quality(spark, spark.read.parquet(f"{folder}/documents.parquet"), folder)
+    assert sorted(map(tuple, held.collect())) == [docs[0], docs[3]]
+    # A text much longer than a sequence lies in several, and every id once in each copy.
+    got = [r for r in corpus_pipeline.run(spark, folder).collect() if r.doc_id == 4]
+    assert len(got) > 20 and sum(r.length for r in got) % got[0].doc_tokens == 0
+
+
+def test_clashing_columns_go_along(spark, tmp_path):
+    """Names that the stages use themselves."""
+    extra = ["row", "data", "text_key", "size", "draw", "es_weight", "es_key", "target", "copies", "good_id", "own", "kept", "score", "at", "node", "label", "bucket", "shard", "copy"]
+    rnd = random.Random(5)
+    say = lambda n: " ".join(f"w{rnd.randrange(50)}" for _ in range(n))
+    passage = say(40)
+    docs = [(i, f"{say(30)} {passage}" if i % 3 == 0 else say(60), "en", "ab"[i % 2], 1, *[f"{c}{i}" for c in extra]) for i in range(30)]
+    docs += [(30, docs[1][1], *docs[1][2:]), (31, docs[4][1] + " w1", "en", "a", 1, *[f"{c}31" for c in extra])]
+    folder = _tables(spark, tmp_path, docs, DOCS + "".join(f", {c} string" for c in extra), [(i, 1, 0) for i in range(20)])
+    held, by_id = spark.read.parquet(f"{folder}/documents.parquet"), {d[0]: d for d in docs}
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, held, folder).cache()
+        assert out.columns == held.columns and out.count() > 0
+        assert all(tuple(r)[5:] == by_id[r.doc_id][5:] for r in out.collect())
+        held = out
+    assert corpus_pipeline.packed(spark, held, folder).count() >= held.count()
+
+
+def test_stages_leave_nothing_but_the_last(spark, folder):
+    B.cleanup()
+    got = corpus_pipeline.run(spark, folder)
+    names = sorted(p.rsplit("/", 1)[1].split("-")[0] for p in B.left())
+    assert names == ["pieces", "stage3"], names
+    assert got.count() > 0
+    B.cleanup()
+    assert not B.left()
