@@ -6,10 +6,15 @@ copies go; a document of which nothing is left goes too), mixing (documents
 repeat as often as the mix takes them), packing (the result).  All but the last
 return the columns of ``documents``; ``n_chars`` follows the text.
 
-Null ids and texts: a text that is null is rejected by the first stage; a null
-id is in no group, gives and loses no words, and is mixed and packed as usual.
-Rows that repeat an id are judged one by one: of a group's rows with its
-smallest id one stays, that of the least hash.
+Defined results: a text that is null is rejected by the first stage; a null id is
+in no group, gives and loses no words, and is mixed and packed as usual; rows
+that repeat an id are judged one by one: of a group's rows with its smallest id
+one stays, that of the least hash; a text at its language's threshold is kept;
+of equal passages the one in the smallest id stays; very long texts go through
+every stage whole and are cut by packing alone; an empty table of documents
+gives an empty result, and without labels only null and empty texts are
+rejected; columns beyond those that a stage reads go along, whatever they are
+called.
 """
 
 from __future__ import annotations
@@ -81,12 +86,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``, each written and read again; what a stage has written for itself goes with it."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), set()
     for number, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if number < len(STAGES) - 1:
-            path = f"{blocks.shared_folder(spark)}/factorloom/stage{number}-{uuid.uuid4().hex}"
-            docs.write.parquet(path)
-            docs = spark.read.parquet(path)
+        held = blocks.left()
+        out = stage(spark, docs, sf_dir)
+        if number == len(STAGES) - 1:
+            return out
+        path = blocks.keep(spark, f"{blocks.shared_folder(spark)}/factorloom/stage{number}-{uuid.uuid4().hex}")
+        out.write.parquet(path)
+        blocks.drop((blocks.left() - held - {path}) | before)
+        docs, before = spark.read.schema(out.schema).parquet(path), {path}
     return docs
