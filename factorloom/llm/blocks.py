@@ -34,11 +34,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Text bytes of one block of words in a Python worker.
 BLOCK_BYTES = 3 << 20
 #: Input text bytes that one bucket of a packed exchange stands for.
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 8 << 20
 #: Drops an execution's shuffle files when it ends; what it has written outlives them.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Payloads that a block or a task deals at most in one step.
-FAN = 2048
+FAN = 4096
 #: Bytes of payloads that a task gathers before it deals them on.
 REGROUP_BYTES = 4 << 20
 PACKED = "bucket int, payload binary"

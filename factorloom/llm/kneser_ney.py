@@ -134,8 +134,10 @@ class _Route(B.Route):
 
 
 def _blocks(order: int, n: int, step: int):
+    """A block's distinct n-grams; blocks and buckets are smaller for higher orders, of which there are more."""
+
     def run(batches):
-        for batch in B.blocks(batches, limit=4 * B.BLOCK_BYTES):
+        for batch in B.blocks(batches, limit=(16 >> order) * B.BLOCK_BYTES or B.BLOCK_BYTES):
             t = Tokens(B.raw(batch), order)
             rows, _, count = t.grams(t.back[::-1])
             if not len(rows):
@@ -220,11 +222,10 @@ def _below(columns: list[np.ndarray], adj: np.ndarray, raw: np.ndarray, n: int,
     columns, adj, raw = [c[live] for c in columns], adj[live], raw[live]
     if not len(live):
         return
-    names = np.concatenate([gram_names(columns[1:]), gram_names(columns[:-1])])
-    key, first, of = np.unique(names, return_index=True, return_inverse=True)
-    del names
+    key, first, of = np.unique(np.concatenate([gram_names(columns[1:]), gram_names(columns[:-1])]), return_index=True, return_inverse=True)
     m, k = len(key), len(live)
-    suffix, prefix = of[:k], of[k:]
+    suffix, prefix = of[:k].astype(np.int32), of[k:].astype(np.int32)
+    del of
     grams = [np.where(first < k, columns[j + 1][first % k], columns[j][first % k]) for j in range(len(columns) - 1)]
     del columns
     sums = {"adj": np.bincount(suffix, None, m), "raw": np.bincount(suffix, raw, m), "ctx": np.bincount(prefix, adj, m)}
@@ -262,7 +263,7 @@ def train(texts: DataFrame, order: int = 3, fan: int = B.FAN) -> dict:
     B.bounded_batches(spark)
     folder = f"{_folder(B.shared_folder(spark))}/factorloom/model-{uuid.uuid4().hex}"
     B.keep(spark, f"file://{folder}")
-    n = B.bucket_count(texts, share=B.BUCKET_BYTES * 2 // order)
+    n = B.bucket_count(texts, share=B.BUCKET_BYTES * 4 >> order)
     step = B.first_step(n, fan)
     held = texts.select(F.col("text").cast("string")).mapInArrow(B.tidied(_blocks(order, n, step)), B.PACKED)
     for level in range(order, 0, -1):

@@ -69,7 +69,7 @@ def test_a_shared_passage_costs_entries_by_block(spark, copies):
 
 
 def test_steps():
-    assert B.first_step(2048) == 1 and B.first_step(2049) == 2048 and B.first_step(6_000_000) == 2048 * 2048 and B.first_step(4_000_000) == 2048
+    assert B.first_step(B.FAN) == 1 and B.first_step(B.FAN + 1) == B.FAN and B.first_step(12_000_000) == B.FAN
     assert [B.first_step(30, f) for f in (3, 6, 100)] == [27, 6, 1]
     h = B.mix(np.arange(1000, dtype=np.uint64))
     for n in (1, 2, 1800):
