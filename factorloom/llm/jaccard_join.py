@@ -268,9 +268,11 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 75, hubs: int
     joined = classes.join(labels, "node", "left").select("node", "least", F.coalesce("label", "node").alias("label"))
     best = joined.filter("label is not null").join(joined.groupBy("label").agg(F.min("least").alias("component_id")), "label").select("node", "component_id")
     out = sizes.join(best, "node", "left")
-    return out.select(
-        "doc_id", "n_shingles", F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
-    )
+    named = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
+    # Three numbers a document; all else can go.
+    out = B.written(out.select("doc_id", "n_shingles", named.alias("component_id")), "groups")
+    B.discard(table, labels)
+    return out
 
 
 def class_links(rows: DataFrame, percent: int, hubs: int) -> tuple[DataFrame, list[DataFrame]]:

@@ -11,9 +11,9 @@ Languages with fewer than ``LEAST`` such rows take the quantile over all.
 Half of the good ids, by hash, may be trained on, at most ``fit_rows`` of them:
 that bound is a parameter, and the only one.  If they are more, half of the
 bound goes to the ids with the least hash and the other to languages in turn,
-so that a rare language has all of its ids or an equal share.  Rows are scored
-once and written with their scores; those of the good rows left give quantiles,
-exact, from counts by bin and the rows of the bins that hold them.
+so that a rare language has all of its ids or an equal share.  Every row is
+scored; the good rows left give quantiles, exact, from counts by bin and the
+rows of the bins that hold them.
 
 Defined results: null and empty texts have their end alone and are rejected; a
 null language, one that the labels don't have or one of which fewer than
@@ -37,7 +37,11 @@ FIT_ROWS, QUANTILE, SLACK, LEAST = 20_000, 0.995, 0.05, 50
 
 
 def quality_classifier(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, quantile: float = QUANTILE, slack: float = SLACK, order: int = 3, columns: list[str] | None = None) -> DataFrame:
-    """``row`` (of ``columns``, or all) with ``n_tokens``, ``perplexity``, ``threshold`` and ``kept``."""
+    """``row`` (of ``columns``, or all) with ``n_tokens``, ``perplexity``, ``threshold`` and ``kept``.
+
+    With ``columns`` rows are scored once and written with their scores.  Whole
+    rows are not written: they are scored again when the result is read.
+    """
     spark = docs.sparkSession
     B.bounded_batches(spark)
     good = labels.filter("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("good_id")).distinct()
@@ -47,10 +51,12 @@ def quality_classifier(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_R
     trusted = B.written(rows.join(F.broadcast(trained), "good_id").select("text"), "trusted")
     meta = kneser_ney.train(trusted, order)
     B.discard(trusted)
-    scored = kneser_ney.score(rows.select(F.struct("row", "good_id", "lang").alias("row"), "text"), meta)
-    scored = scored.select("row.row", "row.good_id", "row.lang", "n_tokens", (-F.col("score") / F.col("n_tokens")).alias("log_perplexity"))
-    scored = B.written(scored, "scored")  # read for the thresholds and for the verdicts
-    B.delete(spark, f"file://{meta['folder']}")
+
+    def scores(row) -> DataFrame:
+        scored = kneser_ney.score(rows.select(F.struct(row.alias("row"), "good_id", "lang").alias("row"), "text"), meta)
+        return scored.select("row.row", "row.good_id", "row.lang", "n_tokens", (-F.col("score") / F.col("n_tokens")).alias("log_perplexity"))
+
+    scored = B.written(scores(F.col("row") if columns else F.lit(0)), "scored")
     logs = scored.filter("good_id is not null and n_tokens > 1").select("good_id", "lang", "log_perplexity")
     logs = logs.join(good, "good_id", "left_semi").join(F.broadcast(trained), "good_id", "left_anti")
     logs = B.written(logs.select("lang", "log_perplexity"), "trusted-scores")
@@ -59,6 +65,11 @@ def quality_classifier(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_R
     own = _quantiles(logs.filter("lang is not null"), quantile).filter(F.col("n") >= LEAST).select(F.col("lang").alias("own_lang"), (F.col("q") + slack).alias("own"))
     own = B.written(own, "thresholds", coalesce=1)
     B.discard(trained, logs)
+    if columns:
+        B.delete(spark, f"file://{meta['folder']}")
+    else:
+        B.discard(scored)
+        scored = scores(F.col("row"))
     # One row for each language with LEAST good rows or more.
     out = scored.join(F.broadcast(own), F.col("lang") == F.col("own_lang"), "left")
     limit = F.coalesce("own", F.lit(every))
