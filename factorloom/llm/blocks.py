@@ -32,7 +32,7 @@ from .. import ship
 #: Words are what lies between these bytes; ``bytes.split()`` splits at just these.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Text bytes of one block of words in a Python worker.
-BLOCK_BYTES = 3 << 20
+BLOCK_BYTES = 2 << 20
 #: Input text bytes that one bucket of a packed exchange stands for.
 BUCKET_BYTES = 8 << 20
 #: Drops an execution's shuffle files when it ends; what it has written outlives them.
@@ -116,14 +116,15 @@ class Words:
     """Word hashes of a block: ``h`` flat, ``doc`` the row of each word, ``start`` the offsets by row."""
 
     def __init__(self, texts: list[bytes], lower: bool = False, end: bytes | None = None):
-        self.lists = [x.lower().split() if lower else x.split() for x in texts]
+        # The words themselves are not kept: their objects weigh many times their text.
+        lists = [x.lower().split() if lower else x.split() for x in texts]
         if end is not None:
-            for x in self.lists:
+            for x in lists:
                 x.append(end)
-        self.n = np.fromiter(map(len, self.lists), np.int64, len(self.lists))
+        self.n = np.fromiter(map(len, lists), np.int64, len(lists))
         self.start = np.r_[0, np.cumsum(self.n)]
-        self.h = hash_words([w for x in self.lists for w in x])
-        self.doc = np.repeat(np.arange(len(self.lists)), self.n)
+        self.h = hash_words([w for x in lists for w in x])
+        self.doc = np.repeat(np.arange(len(lists)), self.n)
 
     def windows(self, size: int) -> np.ndarray:
         """Start positions of the windows of ``size`` words that lie in one row."""
@@ -308,7 +309,7 @@ def bucket_count(df: DataFrame, text: str = "text", share: int = BUCKET_BYTES) -
     return max(2, int(total // share) + 1)
 
 
-def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
+def bounded_batches(spark: SparkSession, rows: int = 250) -> None:
     """Send the code to the workers and keep Arrow batches small enough for long texts; the setting lasts for the session."""
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -64,7 +64,6 @@ class Tokens:
         h = self.words.h
         self.vocabulary, at = np.unique(np.r_[h, _START], return_inverse=True)
         self.at, start = at[:-1].astype(np.int32), int(at[-1])
-        self.words.lists = None  # hashes are enough from here on
         # back[j]: the word j places before each token.
         self.back = [self.at]
         place = np.arange(len(h)) - self.words.start[self.words.doc] if len(h) else np.zeros(0, np.int64)
@@ -137,7 +136,7 @@ def _blocks(order: int, n: int, step: int):
     """A block's distinct n-grams; blocks and buckets are smaller for higher orders, of which there are more."""
 
     def run(batches):
-        for batch in B.blocks(batches, limit=(16 >> order) * B.BLOCK_BYTES or B.BLOCK_BYTES):
+        for batch in B.blocks(batches, limit=max(1, 24 >> order) * B.BLOCK_BYTES):
             t = Tokens(B.raw(batch), order)
             rows, _, count = t.grams(t.back[::-1])
             if not len(rows):
@@ -235,9 +234,11 @@ def _below(columns: list[np.ndarray], adj: np.ndarray, raw: np.ndarray, n: int,
         yield B.packed([(b, _folded(grams, x, **sums))])
 
 
-def _totals(order: int):
+def _totals(fn):
+    """The last level's counts of counts alone, as rows: one Python worker a task, not one for each of two steps."""
+
     def run(batches):
-        for batch in batches:
+        for batch in fn(batches):
             for p in B.column(batch, "payload").to_pylist():
                 if p[0] == 1:
                     yield pa.RecordBatch.from_arrays([pa.array([B.unpack(p)["of"].tolist()], pa.list_(pa.int64()))], names=["of"])
@@ -267,9 +268,11 @@ def train(texts: DataFrame, order: int = 3, fan: int = B.FAN) -> dict:
     step = B.first_step(n, fan)
     held = texts.select(F.col("text").cast("string")).mapInArrow(B.tidied(_blocks(order, n, step)), B.PACKED)
     for level in range(order, 0, -1):
-        held = B.exchange(held, n, _shards(folder, level, order, n, step), B.PACKED, _Route(n), fan)
-    of = held.mapInArrow(_totals(order), "of array<long>")
-    got = of.agg(*[F.sum(F.col("of")[i]) for i in range(4 * (order + 1))]).first()
+        fn, schema = _shards(folder, level, order, n, step), B.PACKED
+        if level == 1:
+            fn, schema = _totals(fn), "of array<long>"
+        held = B.exchange(held, n, fn, schema, _Route(n), fan)
+    got = held.agg(*[F.sum(F.col("of")[i]) for i in range(4 * (order + 1))]).first()
     got = np.array([x or 0 for x in got]).reshape(order + 1, 4).tolist()
     B.release(spark)
     tokens, vocabulary, types, _ = got[0]

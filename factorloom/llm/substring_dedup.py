@@ -62,7 +62,7 @@ class Symbols:
     def __init__(self, h: np.ndarray, doc: np.ndarray, rounds: int = ROUNDS):
         self.h, self.levels = h, []
         new = np.r_[True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])] if len(h) else np.zeros(0, bool)
-        self.run, self.head = np.cumsum(new) - 1, np.flatnonzero(new)
+        self.run, self.head = np.cumsum(new, dtype=np.int32) - np.int32(1), np.flatnonzero(new)
         length = np.diff(np.r_[self.head, len(h)]).astype(np.uint64)
         self.word, doc = h[self.head], doc[self.head]
         names = np.where(length > 1, B.join2(self.word, length, 100), self.word)
@@ -71,7 +71,7 @@ class Symbols:
             joined = np.zeros(len(names), bool)
             joined[:-1] = left[:-1] & ~left[1:] & (doc[:-1] == doc[1:])
             second = np.r_[False, joined[:-1]]
-            self.levels.append((names, left, joined, np.cumsum(~second) - 1))
+            self.levels.append((names, left, joined, np.cumsum(~second, dtype=np.int32) - np.int32(1)))
             head = np.flatnonzero(~second)
             up = names[head].copy()
             at = head[joined[head]]
@@ -93,7 +93,7 @@ class Symbols:
             else:  # the outer runs' words are known, and with them their classes
                 lost[0, live], lost[1, live] = joined[a[live] - 1], joined[b[live]]
             yield level, names, a, b, lost
-            a, b = a + lost[0], b - lost[1]
+            a, b = a + lost[0].astype(a.dtype), b - lost[1].astype(b.dtype)
             live = np.flatnonzero(a <= b)
             dead = np.ones(len(a), bool)
             dead[live] = False

@@ -78,7 +78,7 @@ def test_steps():
 
 
 def test_sent_bytes_do_not_grow_with_the_buckets():
-    """The incidence of a block of 3 MB, dealt to 2 to 1800 buckets, and to more in steps."""
+    """The incidence of three megabytes of text, dealt to 2 to 1800 buckets, and to more in steps."""
     rnd = np.random.default_rng(1)
     name, row = np.sort(B.mix(rnd.integers(0, 1 << 62, 450_000).astype(np.uint64))), rnd.integers(0, 1500, 450_000).astype(np.uint16)
     blk = np.full(len(name), 77, np.uint64)
