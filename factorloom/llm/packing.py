@@ -19,7 +19,9 @@ result; further columns are ignored, so their names may clash.
 
 from __future__ import annotations
 
+import array
 import json
+import sys
 import zlib
 
 import numpy as np
@@ -35,6 +37,10 @@ SHARD = 50_000
 FULL = 1 << 62
 #: Words whose token ids a worker remembers.
 REMEMBERED = 300_000
+#: White space other than the single spaces and line feeds that a text is cut at; the last is U+3000.
+_OTHER_SPACE = [chr(i) for i in range(0x3001) if chr(i).isspace() and chr(i) not in " \n"]
+_OTHER_ASCII = [c for c in _OTHER_SPACE if c.isascii()]
+_DOUBLE = ["  ", " \n", "\n ", "\n\n"]
 
 #: Fixed value: the public byte-level BPE's splitting pattern.
 _PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -55,22 +61,31 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.after_space, self.after_line = _Memory(self, " "), _Memory(self, "\n")
         specials = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.specials = [s for s in specials if s]
-        import regex
-
-        self.odd = regex.compile(r"[\s--[ \n]]|[ \n][ \n]|[ \n]$|[\x1c-\x1f\x85]", regex.V1)
-
         self.quick = _ranked(path, self.whole)
+        # tiktoken has no public method that takes one piece.
+        self.piece = getattr(getattr(self.quick, "_core_bpe", None), "encode_single_piece", None)
+        self.after_space, self.after_line = _Memory(self.spaced), _Memory(lambda word: self.fresh("\n" + word))
 
     def fresh(self, unit: str) -> bytes:
         if self.quick is not None and not any(s in unit for s in self.specials):
-            return np.array(self.quick.encode_ordinary(unit), "<u4").tobytes()
-        return np.array(self.whole.encode(unit, add_special_tokens=False).ids, "<u4").tobytes()
+            return _ids(self.quick.encode_ordinary(unit))
+        return _ids(self.whole.encode(unit, add_special_tokens=False).ids)
+
+    def spaced(self, word: str) -> bytes:
+        """The ids of a space and a word; one of letters alone is one piece of the pattern (those up to U+052F are letters in every library)."""
+        if self.piece is not None and word.isalpha() and max(word) < "\u0530" and not any(s in f" {word}" for s in self.specials):
+            return _ids(self.piece(f" {word}".encode()))
+        return self.fresh(" " + word)
+
+    def odd(self, text: str) -> bool:
+        """Whether a text has more white space than single spaces and line feeds with a word behind each, or a special token."""
+        found = self.specials + _DOUBLE + (_OTHER_ASCII if text.isascii() else _OTHER_SPACE)
+        return text.endswith((" ", "\n")) or any(x in text for x in found)
 
     def __call__(self, text: str) -> bytes:
-        if self.odd.search(text) or any(s in text for s in self.specials):
+        if self.odd(text):
             return self.fresh(text)
         out, space, line = [], self.after_space, self.after_line
         for i, part in enumerate(text.split("\n")):
@@ -103,12 +118,20 @@ def _ranked(path: str, whole):
     return tiktoken.Encoding("ranked", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def _ids(ids: list[int]) -> bytes:
+    """Ids as little-endian unsigned 32-bit numbers."""
+    held = array.array("I", ids)
+    if sys.byteorder == "big":
+        held.byteswap()
+    return held.tobytes()
+
+
 class _Memory(dict):
-    def __init__(self, encoder: WordEncoder, before: str):
-        self.encoder, self.before = encoder, before
+    def __init__(self, fresh):
+        self.fresh = fresh
 
     def __missing__(self, word: str) -> bytes:
-        ids = self.encoder.fresh(self.before + word)
+        ids = self.fresh(word)
         if len(self) < REMEMBERED and len(word) < 64:
             self[word] = ids
         return ids

@@ -491,3 +491,13 @@ def test_best_fit_takes_the_tightest_window():
             left.append(100)
         assert o == 100 - left[w]
         left[w] -= n
+
+
+def test_word_encoder_gives_the_tokenizer_s_ids():
+    from tokenizers import Tokenizer
+
+    whole, words, rnd = Tokenizer.from_file(BPE), packing.encoder(BPE), random.Random(9)
+    letters = [" ", "\n", "a", "B", "é", "ж", "中", "ʼ", "'", "s", "7", "٣", "ա", "ͅ", "ª", "̈", ".", "😀", "\t", "\x1c", "\x85", " ", "　", "​", "<|endoftext|>"]
+    for i in range(4000):
+        text = "".join(rnd.choices(letters[: rnd.choice([6, 18, 25])], k=rnd.randint(0, 16)))
+        assert words(text) == np.array(whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), repr(text)
